@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import pairs, percentiles
+from skein.llm import pairs, percentiles, splitting, tokenizer
 from skein.sources.tables import table
 
 
@@ -37,7 +37,22 @@ def p4_combined(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles_of(percentiles.combine(p4_daily(spark, folder), groups), groups)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as token ids: ``doc_id, ids``."""
+    return tokenizer.encode_table(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of more than 1,024 tokens: those of which the splitter makes a second piece."""
+    return splitting.split_table(table(spark, folder, "documents"), with_text=False).where("piece = 1").select("doc_id")
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document, each within 1,024 tokens."""
+    return splitting.split_table(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined, p6_ids, p8_found, p8_pieces)}
 
 _DURATIONS = """
 with d as (
