@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import pairs, percentiles, splitting, tokenizer
+from skein.llm import leakage, pairs, percentiles, splitting, tokenizer
 from skein.sources.tables import table
 
 
@@ -42,6 +42,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_table(table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item: ``doc_id, item_id``."""
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of more than 1,024 tokens: those of which the splitter makes a second piece."""
     return splitting.split_table(table(spark, folder, "documents"), with_text=False).where("piece = 1").select("doc_id")
@@ -52,7 +57,7 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_table(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined, p6_ids, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined, p6_ids, p7_found, p8_found, p8_pieces)}
 
 _DURATIONS = """
 with d as (
