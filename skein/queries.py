@@ -82,10 +82,99 @@ with user_state as (
 )
 """
 
+def _body(column: str) -> str:
+    """SQL for the JSON of a column, also where it stands inside a JSON string; null if it is not complete."""
+    text = f"{column}::json->>'$'"
+    return f"case when json_valid({column}) then case when json_type({column}) = 'VARCHAR' then case when json_valid({text}) then {text} end else {column} end end"
+
+
+_TREE = f"""
+with docs as (
+  select distinct 'workflow' as root_table, id as root_id, export_file, {_body("flow_data")} as body from workflow
+  union all
+  select distinct 'execution_record', id, '', {_body("node_results")} from execution_record
+), whole as (
+  select root_table, root_id, export_file,
+    case when root_table = 'execution_record' and json_type(body) = 'OBJECT' then '[' || body || ']' else body end as body
+  from docs where body is not null and json_type(body) in ('OBJECT', 'ARRAY')
+), tree as (
+  select root_table, root_id, export_file, t.type, t.value,
+    replace(replace(replace(ltrim(replace(t.fullkey, '"', ''), '$'), '[', '/'), ']', ''), '.', '/') as place
+  from whole, lateral (select type, value, fullkey from json_tree(body::json)) t
+)
+"""
+
+_FIELDS = f"""
+with files as (
+  select export_file, row_number() over (order by export_file) as rank from (select distinct export_file from workflow)
+), docs as (
+  select distinct id, export_file, {_body("flow_data")} as body from workflow
+), places as (
+  select d.id, export_file, t.id as place, t.value::varchar as value, regexp_replace(ltrim(replace(t.fullkey, '"', ''), '$.'), '\\[[0-9]+\\]', '[]', 'g') as path,
+    case t.type when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' else 'number' end as kind
+  from docs d, lateral (select id, type, value, fullkey from json_tree(body::json)) t
+  where body is not null and json_type(body) = 'OBJECT' and t.type <> 'NULL' and t.fullkey <> '$' and not regexp_matches(t.fullkey, '\\]$')
+), fields as (
+  select distinct export_file, path, kind from places
+)
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_objects, p5_found, p5_catalogue, p5_table)}
 
 SQL: dict[str, str] = {
     "p2_found": _STATES + "select ref, id, reason, period from direct",
+    "p3_found": _TREE
+    + """select distinct root_table, root_id, export_file, ltrim(place, '/') as path,
+  coalesce(regexp_extract(ltrim(place, '/'), '^((?:.*/)?[0-9]+)/.*[^0-9/].*/[0-9]+$', 1), '') as parent_path,
+  coalesce(case when json_type(value, '$.id') = 'VARCHAR' then value->>'$.id'
+    when json_type(value, '$.name') = 'VARCHAR' then value->>'$.name'
+    when json_type(value, '$.nodeId') = 'VARCHAR' then value->>'$.nodeId' end, '') as child_key
+from tree where type = 'OBJECT' and regexp_matches(place, '/[0-9]+$')""",
+    "p5_catalogue": _FIELDS
+    + """, typed as (
+  select export_file, path, string_agg(kind, '|' order by kind) as types from fields group by export_file, path
+), ranked as (
+  select t.export_file, t.path, t.types, f.rank, f.rank - row_number() over (partition by t.path order by f.rank) as run
+  from typed t join files f using (export_file)
+)
+select path, dense_rank() over (partition by path order by run) as island, first_file, last_file, files, types from (
+  select path, run, min(export_file) as first_file, max(export_file) as last_file, count(*) as files,
+    string_agg(distinct types, ', ' order by types) as types
+  from ranked group by path, run
+)""",
+    "p5_found": _FIELDS
+    + """, typed as (
+  select export_file, path, rank, string_agg(kind, '|' order by kind) as types from fields join files using (export_file) group by all
+), added as (
+  select n.* from typed n where n.rank > 1 and not exists (select 1 from typed o where o.path = n.path and o.rank = n.rank - 1)
+), removed as (
+  select o.rank + 1 as rank, o.path, o.types from typed o
+  where o.rank < (select max(rank) from files) and not exists (select 1 from typed n where n.path = o.path and n.rank = o.rank + 1)
+), pairs as (
+  select a.rank, r.path as old_path, a.path as new_path, r.types as old_type, a.types as new_type from removed r join added a
+  on a.rank = r.rank and regexp_replace(a.path, '(^|[.])[^.]*$', '') = regexp_replace(r.path, '(^|[.])[^.]*$', '')
+), held as (
+  select id, rank, path, string_agg(value, chr(1) order by place) as held from places join files using (export_file) group by all
+), both_files as (
+  select distinct n.id, n.rank from held n join held o on o.id = n.id and o.rank = n.rank - 1
+), compared as (
+  select p.*, o.held as a, n.held as b from pairs p join both_files w on w.rank = p.rank
+  left join held o on o.id = w.id and o.rank = p.rank - 1 and o.path = p.old_path
+  left join held n on n.id = w.id and n.rank = p.rank and n.path = p.new_path
+), renamed as (
+  select rank, old_path, new_path, old_type, new_type from compared where a is not null or b is not null
+  group by all having count(case when a = b then 1 end) > 0 and count(case when a = b then 1 end) >= 0.9 * count(*)
+), report as (
+  select n.rank, 'type' as change, n.path as old_path, n.path as new_path, o.types as old_type, n.types as new_type
+  from typed n join typed o on o.path = n.path and o.rank = n.rank - 1 where n.types <> o.types
+  union all
+  select rank, 'added', '', path, '', types from added a where not exists (select 1 from renamed x where x.rank = a.rank and x.new_path = a.path)
+  union all
+  select rank, 'removed', path, '', types, '' from removed r where not exists (select 1 from renamed x where x.rank = r.rank and x.old_path = r.path)
+  union all
+  select rank, 'renamed', old_path, new_path, old_type, new_type from renamed
+)
+select export_file, change, old_path, new_path, old_type, new_type from report join files using (rank)""",
     "p2_report": _STATES
     + """, inherited as (
   select distinct e.id, coalesce(strftime(e.executed_at, '%Y-%m'), '') as period from execution_record e
