@@ -68,7 +68,38 @@ with d as (
 )
 """
 
+#: The leading 19 bits of a whole number as a double: sign and exponent, and 7 bits of the fraction.
+_BUCKETS = """
+with b as (
+  select distinct id, strftime(executed_at, '%Y-%m-%d') as day, flow_id, upper(trim(status)) as status, duration,
+    case when duration = 0 then 0::bigint
+      else (floor(log2(duration))::bigint + 1023) * 128 + floor((duration / pow(2, floor(log2(duration))) - 1) * 128)::bigint end as bucket
+  from execution_record where duration >= 0
+)
+"""
+
+_ENDS = "".join(
+    f", max(case when rank_{p} > before and rank_{p} <= upto then low end) as p{p}_low, max(case when rank_{p} > before and rank_{p} <= upto then high end) as p{p}_high"
+    f", max(case when rank_{p} > before and rank_{p} <= upto then (low + high) / 2 end) as p{p}"
+    for p in (50, 90, 99)
+)
+
 SQL = {
+    "p4_daily": _BUCKETS + "select day, flow_id, status, bucket, count(*) as records from b group by all",
+    "p4_combined": _BUCKETS
+    + """, h as (
+  select flow_id, status, bucket, count(*) as records from b group by all
+), c as (
+  select *, sum(records) over (partition by flow_id, status order by bucket) as upto, sum(records) over (partition by flow_id, status) as n,
+    case when bucket = 0 then 0.0 else pow(2, bucket // 128 - 1023) * (1 + (bucket % 128) / 128.0) end as low,
+    case when bucket = 0 then pow(2.0, -1022) * (pow(2.0, -7) - pow(2.0, -52)) else pow(2, bucket // 128 - 1023) * (1 + (bucket % 128) / 128.0 + 1 / 128.0 - pow(2.0, -52)) end as high
+  from h
+), r as (
+  select *, upto - records as before, greatest(1, ceil(n * 0.5 - 1e-9)) as rank_50, greatest(1, ceil(n * 0.9 - 1e-9)) as rank_90, greatest(1, ceil(n * 0.99 - 1e-9)) as rank_99 from c
+)
+select flow_id, status, n::bigint as n"""
+    + _ENDS
+    + " from r group by flow_id, status, n",
     "p4_percentiles": _DURATIONS
     + """select flow_id, status, n,
   max(case when k = greatest(1, ceil(n * 0.5 - 1e-9)) then duration end)::double as p50,
