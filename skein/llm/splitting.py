@@ -27,16 +27,18 @@ from skein.llm.tokenizer import BATCH, TOKENIZERS, VOCABULARY, Encoder, encoder
 #: Largest piece and largest overlap, in tokens.
 LIMIT, OVERLAP = 1024, 64
 #: A word of more tokens is divided into runs of up to LONG_RUN characters, of at most 4 bytes and so 4 tokens each.
-LONG_WORD, LONG_RUN = 24, 4
+LONG_WORD, LONG_RUN = 48, 4
 
 #: Zero-width joiner and variation selectors.
 JOINERS = "\u200d\ufe0e\ufe0f"
 
+#: White space.
+SPACES = np.asarray([x for x in range(0x3001) if chr(x).isspace()], np.uint32)
+
 HEADING, PARAGRAPH, TURN, LINE, SENTENCE, CLAUSE, WORD, INSIDE, CHARACTER = 8, 7, 6, 5, 4, 3, 2, 1, 0
 
-#: Where boundaries of each strength lie: the end of each match.
+#: Where boundaries of each strength lie: the end of each match. Those of words lie on either side of white space.
 RULES = (
-    (WORD, re.compile(r"(?=\s)|(?<=\s)(?=\S)")),
     (CLAUSE, re.compile(r"[,;:](?=\s)|[，、；：]")),
     (SENTENCE, re.compile(r"(?:[.!?…](?=[\"'”’)\]]*(?:\s|$))|[。！？])[\"'”’)\]」』]*")),
     (LINE, re.compile(r"\r\n|[\n\r\u0085\u2028]")),
@@ -85,34 +87,32 @@ def units(text: str, own: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
     upto = np.cumsum(sizes)
-    characters: list[int] = []
+    cuts: list[np.ndarray] = []
     long = np.flatnonzero(sizes > LONG_WORD).tolist()
     if long:
-        cuts, counts = [ends], [sizes.copy()]
-        extra_cuts, extra_counts = [], []
+        runs: list[str] = []
         for number in long:
-            word, start = words[number], int(ends[number] - lengths[number])
-            runs: list[str] = []
-            at = 0
+            word, at = words[number], 0
+            places = []
             while at < len(word):
                 stop = min(len(word), at + LONG_RUN)
                 while stop < len(word) and stop < at + 4 * LONG_RUN and (_extends(word[stop]) or word[stop - 1] == JOINERS[0]):
                     stop += 1
                 runs.append(word[at:stop])
+                places.append(stop)
                 at = stop
-            own_sizes = [len(x) for x in own.encode_words(runs)]
-            places = start + np.cumsum([len(x) for x in runs])
-            extra_cuts.append(places[:-1])
-            extra_counts.append(np.asarray(own_sizes[:-1], np.int64))
-            counts[0][number] = own_sizes[-1]
-            characters += places[:-1].tolist()
-        every = np.concatenate([*cuts, *extra_cuts])
+            cuts.append(int(ends[number] - lengths[number]) + np.asarray(places))
+        every = np.concatenate([np.delete(ends, long), *cuts])
         order = np.argsort(every, kind="stable")
-        ends, upto = every[order], np.cumsum(np.concatenate([*counts, *extra_counts])[order])
+        ends, upto = every[order], np.cumsum(np.concatenate([np.delete(sizes, long), own.sizes_of(runs)])[order])
     positions = np.concatenate([[0], ends])
     strengths = np.full(len(positions), INSIDE, np.int64)
-    if characters:
-        strengths[np.searchsorted(positions, characters)] = CHARACTER
+    if cuts:
+        strengths[np.searchsorted(positions, np.concatenate([x[:-1] for x in cuts]))] = CHARACTER
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    blank = np.concatenate([[False], np.isin(points, SPACES), [False]])
+    near = blank[positions] | blank[positions + 1]
+    strengths[near] = np.maximum(strengths[near], WORD)
     for strength, rule in RULES:
         found = np.fromiter((x.end() for x in rule.finditer(text)), np.int64)
         if len(found):

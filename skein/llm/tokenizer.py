@@ -156,8 +156,12 @@ class Encoder:
         """The words of one text and how many tokens each has."""
         self._tidy()
         words = self.split(text)
+        return words, self.sizes_of(words)
+
+    def sizes_of(self, words: list[str]) -> np.ndarray:
+        """How many tokens each word has."""
         codes = self._codes(words)  # may enlarge the arrays
-        return words, self.sizes[codes]
+        return self.sizes[codes]
 
     def count(self, text: str) -> int:
         return int(self.word_sizes(text)[1].sum())
