@@ -12,7 +12,7 @@ still counts as a file; null values are absent; duplicate rows count once; null
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 from typing import Any
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.jsontree import BROKEN, clean, decode
+from skein.session import checkpointed
 
 #: JSON type of each Python type that the decoder returns.
 KINDS = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
@@ -101,8 +102,11 @@ def footer_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def file_ranks(frame: DataFrame, file: str) -> DataFrame:
-    """Files in the order of their names, ``(file, rank)``; there is one row per file, not per record."""
-    return frame.select(F.col(file).alias("file")).where(F.col("file").isNotNull()).distinct().withColumn("rank", F.row_number().over(W.orderBy("file")))
+    """Files in the order of their names, with rank, neighbours and the last rank; there is one row per file, not per record."""
+    names = frame.select(F.col(file).alias("file")).where(F.col("file").isNotNull()).distinct()
+    over = W.orderBy("file")
+    near = [F.lag("file").over(over).alias("file_before"), F.lead("file").over(over).alias("file_after")]
+    return names.select("file", F.row_number().over(over).alias("rank"), *near).withColumn("last", F.max("rank").over(W.partitionBy()))
 
 
 def lifespans(fields: DataFrame, files: DataFrame) -> DataFrame:
@@ -125,61 +129,69 @@ def _parent(column: str) -> F.Column:
     return F.regexp_replace(column, r"(^|\.)[^.]*$", "")
 
 
-def values(frame: DataFrame, file: str, key: str, text: str) -> DataFrame:
-    """``(file, id, path, value)`` with a 64-bit hash of the values that a record holds at a path, in their order.
+def _agreement(frame: DataFrame, file: str, key: str, text: str, pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """For each of ``pairs`` (file before, old path, file, new path) by number: records complete in both files that hold either field, and how many hold the same values.
 
-    The empty path marks that the record is complete in that file.
+    One pass decodes the records of the files concerned and emits, per pair, a 64-bit hash of the values in their order;
+    one shuffle by pair and record brings the two sides together.
     """
+    roles: dict[str, list[tuple[int, bool, str]]] = {}
+    for number, (before, old, after, new) in enumerate(pairs):
+        roles.setdefault(before, []).append((number, True, old))
+        roles.setdefault(after, []).append((number, False, new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files, ids, paths, hashes = [], [], [], []
+            numbers, ids, sides, hashes = [], [], [], []
             for name, record, body in zip(batch["file"].to_pylist(), batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 found = _fields(body)
                 if not found:
                     continue
-                found[""] = []
-                files += [name] * len(found)
-                ids += [record] * len(found)
-                paths += [clean(x) for x in found]
-                hashes += [int.from_bytes(blake2b(_encode(x).encode(), digest_size=8).digest(), "little", signed=True) for x in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(hashes, pa.int64())], ["file", "id", "path", "value"])
-
-    rows = frame.select(F.col(file).alias("file"), F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("file").isNotNull() & F.col("id").isNotNull())
-    return rows.mapInArrow(run, "file string, id long, path string, value long")
+                held: dict[str, int] = {}
+                for number, old, path in roles[name]:
+                    if path in found and path not in held:
+                        held[path] = int.from_bytes(blake2b(_encode(found[path]).encode(), digest_size=8).digest(), "little", signed=True)
+                    numbers.append(number)
+                    ids.append(record)
+                    sides.append(old)
+                    hashes.append(held.get(path))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), pa.array(sides, pa.bool_()), pa.array(hashes, pa.int64())], ["pair", "id", "old", "value"])
+
+    rows = frame.select(F.col(file).alias("file"), F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("file").isin(*roles) & F.col("id").isNotNull())
+    sides = rows.mapInArrow(run, "pair int, id long, old boolean, value long").groupBy("pair", "id")
+    both = sides.agg(F.max("old").alias("had"), F.min("old").alias("only"), F.max(F.when(F.col("old"), F.col("value"))).alias("a"), F.max(F.when(~F.col("old"), F.col("value"))).alias("b"))
+    both = both.where(F.col("had") & ~F.col("only") & (F.col("a").isNotNull() | F.col("b").isNotNull()))
+    return both.groupBy("pair").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same"))
 
 
 def changes(frame: DataFrame, file: str, key: str, text: str, same_share: float = SAME_SHARE) -> DataFrame:
-    """The report: ``export_file, change, old_path, new_path, old_type, new_type`` for each file against the one before it."""
-    files = file_ranks(frame, file)
-    spans = lifespans(inventory(frame, file, text), files)
-    last = files.agg(F.max("rank").alias("last"))
-    added = spans.where(F.col("starts") & (F.col("rank") > 1)).select("rank", F.col("path").alias("new_path"), F.col("types").alias("new_type"))
-    removed = spans.where("ends").join(F.broadcast(last)).where(F.col("rank") < F.col("last")).select((F.col("rank") + 1).alias("rank"), F.col("path").alias("old_path"), F.col("types").alias("old_type"))
-    typed = spans.where(~F.col("starts") & (F.col("types") != F.col("types_before"))).select("rank", F.lit("type").alias("change"), F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.col("types_before").alias("old_type"), F.col("types").alias("new_type"))
-    pairs = removed.withColumn("parent", _parent("old_path")).join(added.withColumn("parent", _parent("new_path")), ["rank", "parent"]).drop("parent")
-    renamed = _renamed(pairs, values(frame, file, key, text).join(F.broadcast(files), "file").drop("file"), same_share)
-    plain_removed = removed.join(renamed, ["rank", "old_path"], "left_anti").select("rank", F.lit("removed").alias("change"), "old_path", F.lit("").alias("new_path"), "old_type", F.lit("").alias("new_type"))
-    plain_added = added.join(renamed, ["rank", "new_path"], "left_anti").select("rank", F.lit("added").alias("change"), F.lit("").alias("old_path"), "new_path", F.lit("").alias("old_type"), "new_type")
-    every = typed.unionByName(plain_removed).unionByName(plain_added).unionByName(renamed.withColumn("change", F.lit("renamed")))
-    return every.join(F.broadcast(files), "rank").select(F.col("file").alias("export_file"), "change", "old_path", "new_path", "old_type", "new_type")
-
-
-def _renamed(pairs: DataFrame, held: DataFrame, same_share: float) -> DataFrame:
-    """Of the candidate ``pairs`` those that hold the same values for the records of both files; one partner a field."""
-    sides = []
-    for path, shift in (("old_path", -1), ("new_path", 0)):
-        wanted = pairs.select("rank", "old_path", "new_path", F.col(path).alias("path"), (F.col("rank") + shift).alias("at"))
-        mine = held.select(F.col("rank").alias("at"), "id", "path", "value").join(wanted, ["at", "path"])
-        sides.append(mine.select("rank", "old_path", "new_path", "id", *(F.when(F.lit(side == path), F.col("value")).alias(side[:3]) for side in ("old_path", "new_path"))))
-    both = sides[0].unionByName(sides[1]).groupBy("rank", "old_path", "new_path", "id").agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    whole = held.where("path = ''").select("rank", "id").distinct()
-    both = both.join(whole, ["rank", "id"], "left_semi").join(whole.select((F.col("rank") + 1).alias("rank"), "id"), ["rank", "id"], "left_semi")
-    share = both.groupBy("rank", "old_path", "new_path").agg(F.count(F.lit(1)).alias("records"), F.count(F.when(F.col("old") == F.col("new"), 1)).alias("same"))
-    good = share.where((F.col("same") > 0) & (F.col("same") >= F.col("records") * same_share))
-    order = (F.col("same") / F.col("records")).desc(), F.col("same").desc()
-    best = good.withColumn("a", F.row_number().over(W.partitionBy("rank", "old_path").orderBy(*order, "new_path"))).withColumn("b", F.row_number().over(W.partitionBy("rank", "new_path").orderBy(*order, "old_path")))
-    return best.where("a = 1 and b = 1").select("rank", "old_path", "new_path").join(pairs, ["rank", "old_path", "new_path"])
+    """The report: ``export_file, change, old_path, new_path, old_type, new_type`` for each file against the one before it.
+
+    The catalogue of fields, as large as the schema, is checkpointed, so records are decoded once for it; those of files
+    with fields both removed from and added to one parent are decoded once more to compare the values.
+    """
+    spans = checkpointed(lifespans(inventory(frame, file, text), file_ranks(frame, file)))
+    added = spans.where(F.col("starts") & (F.col("rank") > 1)).select("rank", "file", "file_before", F.col("path").alias("new_path"), F.col("types").alias("new_type"))
+    removed = spans.where(F.col("ends") & (F.col("rank") < F.col("last"))).select((F.col("rank") + 1).alias("rank"), F.col("file_after").alias("file"), F.col("path").alias("old_path"), F.col("types").alias("old_type"))
+    typed = spans.where(~F.col("starts") & (F.col("types") != F.col("types_before"))).select("file", F.lit("type").alias("change"), F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.col("types_before").alias("old_type"), F.col("types").alias("new_type"))
+    candidates = removed.drop("file").withColumn("parent", _parent("old_path")).join(added.withColumn("parent", _parent("new_path")), ["rank", "parent"])
+    pairs = [(row.file_before, row.old_path, row.file, row.new_path) for row in candidates.select("file_before", "old_path", "file", "new_path").collect()]
+    renames = []
+    if pairs:
+        agreed = sorted(((row.same / row.records, row.same, row.pair) for row in _agreement(frame, file, key, text, pairs).collect() if row.same), key=lambda x: (-x[0], -x[1], pairs[x[2]]))
+        taken: set[tuple[str, bool, str]] = set()
+        for share, _, number in agreed:
+            _, old, after, new = pairs[number]
+            ends = {(after, True, old), (after, False, new)}
+            if share >= same_share and not ends & taken:
+                taken |= ends
+                renames.append((after, old, new))
+    renamed = frame.sparkSession.createDataFrame(renames, "file string, old_path string, new_path string")
+    plain_removed = removed.join(renamed, ["file", "old_path"], "left_anti").select("file", F.lit("removed").alias("change"), "old_path", F.lit("").alias("new_path"), "old_type", F.lit("").alias("new_type"))
+    plain_added = added.join(renamed, ["file", "new_path"], "left_anti").select("file", F.lit("added").alias("change"), F.lit("").alias("old_path"), "new_path", F.lit("").alias("old_type"), "new_type")
+    moved = renamed.join(removed.select("file", "old_path", "old_type"), ["file", "old_path"]).join(added.select("file", "new_path", "new_type"), ["file", "new_path"])
+    every = typed.unionByName(plain_removed).unionByName(plain_added).unionByName(moved.select("file", F.lit("renamed").alias("change"), "old_path", "new_path", "old_type", "new_type"))
+    return every.withColumnRenamed("file", "export_file")
 
 
 def aliases(report: DataFrame) -> dict[str, str]:
