@@ -81,9 +81,8 @@ def _extends(char: str) -> bool:
     return unicodedata.category(char) in ("Mn", "Me", "Mc") or char in JOINERS or "\U0001f3fb" <= char <= "\U0001f3ff"
 
 
-def units(text: str, own: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Boundaries of ``text`` as positions, tokens up to each, and strengths; and whether long words were divided."""
-    words, sizes = own.word_sizes(text)
+def units(text: str, own: Encoder, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """From the words of ``text`` and their tokens: boundaries as positions, tokens up to each, and strengths; and whether long words were divided."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
     upto = np.cumsum(sizes)
@@ -122,9 +121,11 @@ def units(text: str, own: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return positions, np.concatenate([[0], upto]), strengths, bool(long)
 
 
-def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
+def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, words: list[str] | None = None, sizes: np.ndarray | None = None) -> list[Piece]:
     """The pieces of one text, each within ``limit`` tokens when encoded on its own; together they cover it."""
-    positions, upto, strengths, divided = units(text, own)
+    if words is None or sizes is None:
+        words, sizes = own.word_sizes(text)
+    positions, upto, strengths, divided = units(text, own, words, sizes)
     last = len(positions) - 1
     table = RangeMaximum(strengths)
     blank = own.pattern_space
@@ -183,13 +184,15 @@ def split_table(frame: DataFrame, key: str = "doc_id", text: str = "text", limit
             for first in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(first, BATCH)
                 texts = batch["text"].to_pylist()
-                sizes = np.diff(own.encode(texts)[1]).tolist()
+                words, each, ends = own.words_of(texts)
+                upto = np.concatenate([[0], np.cumsum(each)])
                 rows: list[tuple[int, int, Piece]] = []
                 bodies: list[str] = []
-                for name, body, size in zip(batch["key"].to_pylist(), texts, sizes, strict=True):
+                for name, body, begin, end in zip(batch["key"].to_pylist(), texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if not body:
                         continue
-                    pieces = split_text(body, own, limit, overlap) if size > limit else [Piece(0, len(body), size, 0, HEADING)]
+                    size = int(upto[end] - upto[begin])
+                    pieces = split_text(body, own, limit, overlap, words[begin:end], each[begin:end]) if size > limit else [Piece(0, len(body), size, 0, HEADING)]
                     rows += [(name, number, piece) for number, piece in enumerate(pieces)]
                     if with_text:
                         bodies += [body[piece.start : piece.end] for piece in pieces]

@@ -47,10 +47,10 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.pattern_space = regex.compile(r"\s").match
-        # longest token that starts with these two bytes
+        # longest token that starts with these three bytes; others have two bytes at most
         self.longest: dict[bytes, int] = {}
         for token in self.ranks:
-            self.longest[token[:2]] = max(self.longest.get(token[:2], 1), len(token))
+            self.longest[token[:3]] = max(self.longest.get(token[:3], 2), len(token))
         self.pairs = np.empty(0, np.int64)  # codes of known pairs, sorted
         self.compatible = np.empty(0, bool)
         self.words_seen = self.merges = 0
@@ -65,16 +65,18 @@ class Encoder:
 
     def _propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        ranks, out, start, size = self.ranks, [], 0, len(word)
-        whole = ranks.get(word)
+        ranks, longest, out, start, size = self.ranks.get, self.longest.get, [], 0, len(word)
+        whole = ranks(word)
         if whole is not None:
             return [whole]
         while start < size:
-            end = min(size, start + self.longest.get(word[start : start + 2], 1))
-            token = ranks.get(word[start:end])
+            end = start + longest(word[start : start + 3], 2)
+            if end > size:
+                end = size
+            token = ranks(word[start:end])
             while token is None:
                 end -= 1
-                token = ranks.get(word[start:end])
+                token = ranks(word[start:end])
             out.append(token)
             start = end
         return out
@@ -135,6 +137,17 @@ class Encoder:
         if len(self.index) > KEPT_WORDS or self.used > 8 * KEPT_WORDS:
             self._forget()
 
+    def words_of(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words of all texts one after another, how many tokens each has, and the offsets of each text."""
+        self._tidy()
+        words: list[str] = []
+        ends = [0]
+        for text in texts:
+            if text:
+                words += self.split(text)
+            ends.append(len(words))
+        return words, self.sizes_of(words), np.asarray(ends)
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of each text."""
         self._tidy()
