@@ -261,14 +261,14 @@ def consistent(frame: DataFrame, file: str, key: str, text: str, into: str = "fl
     """One table of all files: the other columns, and ``into`` as a struct with one name and type per field.
 
     The catalogue and the alias table, which are as large as the schema and not as the data, are read first, since a
-    table's schema must be known before it is planned. Incomplete rows keep their other columns and get null.
+    table's schema must be known before it is planned. Incomplete rows keep their other columns and get null; a column that already has the name ``into`` gives way.
     """
     names = aliases(changes(frame, file, key, text))
     seen: dict[str, set[str]] = {}
     for path, kind in inventory(frame, file, text).select("path", "type").distinct().collect():
         seen.setdefault(names.get(path, path), set()).add(kind)
     kinds = {path: _common(types) for path, types in seen.items()}
-    rest = [x for x in frame.columns if x != text]
+    rest = [x for x in frame.columns if x not in (text, into)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,18 @@ def local_session(name: str = "skein", cores: str = "8", partitions: int = 8) ->
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A local path of the folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        place = folder.removeprefix("file://").removeprefix("file:")
+        os.makedirs(place, exist_ok=True)
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="skein-")
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage of ``frame`` with a reliable checkpoint.
 
@@ -29,8 +42,6 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     temporary one made. ``localCheckpoint`` is never used: it does not survive the loss of an executor.
     """
     spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-checkpoint-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
     return frame.checkpoint()
