@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.session import checkpointed
+
 #: Bits of a digit: at most 2**16 digits stand in one group of one pass, however many rows the group has.
 DIGIT = 16
 #: Leading bits of the daily histograms: sign, exponent and 7 bits of the fraction, a bound of 2**-7 of the value.
@@ -102,32 +104,34 @@ def percentiles_of(histograms: DataFrame, groups: Sequence[str], shares: Sequenc
 def radix_select(frame: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
     """Exact percentiles per group: ``*groups, n`` and one column per share.
 
-    Rows are first counted per group and value, with partial counts before the shuffle. Each of the four passes
-    histograms one 16-bit digit of what is left, picks per target the digit that its rank falls in, and joins only that
-    prefix on, so what is read again shrinks with every pass and a hot group is spread over its prefixes.
+    Rows are first counted per group and value, with partial counts before the shuffle, and these counts are
+    checkpointed. Each of the four passes histograms one 16-bit digit, picks per target the digit that its rank falls
+    in, and keeps only the values below the picked prefixes for the next pass. A hot group is spread over its prefixes;
+    the prefixes picked are few, groups times shares.
     """
     number = F.col(value).cast("double")
     keys = [F.col(x).alias(f"__g{i}") for i, x in enumerate(groups)]
     names = [f"__g{i}" for i in range(len(groups))]
     counted = frame.where(number.isNotNull() & ~F.isnan(number)).select(*keys, ordered_bits(number).alias("bits")).groupBy(*names, "bits").agg(F.count(F.lit(1)).alias("records"))
+    left = checkpointed(counted)
     follow: DataFrame | None = None
     for level in range(64 // DIGIT):
-        digit = F.shiftright(F.col("bits"), 64 - DIGIT * (level + 1))
+        digit = F.shiftright(F.col("bits"), 64 - DIGIT * (level + 1)).alias("prefix")
         if follow is None:
-            found = counted.groupBy(*names, digit.alias("prefix")).agg(F.sum("records").alias("records"))
-            found = found.withColumn("n", F.sum("records").over(W.partitionBy(*names))).withColumn("upto", F.sum("records").over(W.partitionBy(*names).orderBy("prefix")))
-            found = found.withColumn("hit", F.explode(_ranks(shares))).select("*", "hit.target", "hit.rank").drop("hit")
+            digits = left.groupBy(*names, digit).agg(F.sum("records").alias("records"))
+            digits = digits.withColumn("n", F.sum("records").over(W.partitionBy(*names))).withColumn("ranks", _ranks(shares))
+            within = names
         else:
-            # target prefixes are few (groups times shares), the counted values many
-            left = counted.withColumn("before", F.shiftright(F.col("bits"), 64 - DIGIT * level)).withColumn("prefix", digit)
-            wanted = follow.select(*(F.col(x).alias(f"{x}f") for x in names), "n", "target", "rank", F.col("prefix").alias("wanted"))
-            same = [*(F.col(x).eqNullSafe(F.col(f"{x}f")) for x in names), F.col("before") == F.col("wanted")]
-            narrowed = left.join(wanted.select(*(f"{x}f" for x in names), "wanted").distinct(), same, "left_semi")
-            digits = narrowed.groupBy(*names, "before", "prefix").agg(F.sum("records").alias("records"))
-            digits = digits.withColumn("upto", F.sum("records").over(W.partitionBy(*names, "before").orderBy("prefix")))
-            found = digits.join(wanted, same)
-        inside = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("records"))
-        follow = found.where(inside).select(*names, "n", "target", (F.col("rank") - F.col("upto") + F.col("records")).alias("rank"), "prefix")
+            wanted = follow.groupBy(*names, "prefix").agg(F.first("n").alias("n"), F.collect_list(F.struct("target", "rank")).alias("ranks"))
+            wanted = wanted.select(*(F.col(x).alias(f"{x}f") for x in names), F.col("prefix").alias("before"), "n", "ranks")
+            same = [*(F.col(x).eqNullSafe(F.col(f"{x}f")) for x in names), F.shiftright(F.col("bits"), 64 - DIGIT * level) == F.col("before")]
+            left = checkpointed(left.select(*names, "bits", "records").join(wanted, same).select(*names, "bits", "records", "before", "n", "ranks"))
+            digits = left.groupBy(*names, "before", digit).agg(F.sum("records").alias("records"), F.first("n").alias("n"), F.first("ranks").alias("ranks"))
+            within = [*names, "before"]
+        digits = digits.withColumn("upto", F.sum("records").over(W.partitionBy(*within).orderBy("prefix")))
+        inside = F.filter("ranks", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("records")))
+        hit = digits.select(*names, "n", "prefix", (F.col("upto") - F.col("records")).alias("below"), F.explode(inside).alias("hit"))
+        follow = hit.select(*names, "n", "prefix", "hit.target", (F.col("hit.rank") - F.col("below")).alias("rank"))
     exact = [F.max(F.when(F.col("target") == i, value_of(F.col("prefix")))).alias(_name(share)) for i, share in enumerate(shares)]
     result = follow.groupBy(*names, "n").agg(*exact)
     return result.select(*(F.col(x).alias(y) for x, y in zip(names, groups, strict=True)), "n", *(_name(x) for x in shares))
