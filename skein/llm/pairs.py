@@ -62,11 +62,11 @@ QUOTED = re.compile(r"“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"\n]*\"")
 TITLE_WORDS, TITLE_WIDE = 9, 16
 
 STOPWORDS = {
-    "en": frozenset("the and is of to in it that when with for this are not but how from then what between every only before after there which now you your".split()),
-    "es": frozenset("el la los las de del que y en un una es por con para antes primero entre quedan conviene cuando más como se al lo hay sus".split()),
-    "fr": frozenset("le la les des et est dans une un pour que qui avec pas sur ce cette avant après il elle nous vous du au".split()),
-    "de": frozenset("der die das und ist nicht ein eine zu den von mit für auf dem sich auch wenn aber nach vor wird oder".split()),
-    "pt": frozenset("o os as do da dos das que em um uma é por com para não mais como se ao antes entre quando".split()),
+    "en": frozenset("the and is of to in it that when with for this are not but how from then what between every only before after there which now you your a an on about one please write draft why should be so than two three at by me i or as if no all we us can may give need first".split()),
+    "es": frozenset("el la los las de del que y en un una es por con para antes primero entre quedan conviene cuando más como se al lo hay sus a no me si o su esta este sin sobre".split()),
+    "fr": frozenset("le la les des et est dans une un pour que qui avec pas sur ce cette avant après il elle nous vous du au à en se si ou par sans entre".split()),
+    "de": frozenset("der die das und ist nicht ein eine zu den von mit für auf dem sich auch wenn aber nach vor wird oder zuerst danach im am es wie in an".split()),
+    "pt": frozenset("o os a as do da dos das que em um uma é por com para não mais como se ao antes entre quando no na".split()),
     "it": frozenset("il lo gli di che è un una per con non del della prima dopo quando sono nel alla tra".split()),
 }
 #: The languages of each stopword.
@@ -216,18 +216,25 @@ def _open(text: str) -> bool:
     return bool(stack) or straight
 
 
+def is_json(text: str) -> bool:
+    """Whether the text is a whole JSON object or list."""
+    if text.lstrip()[:1] not in ("{", "["):
+        return False
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def is_cut(answer: str) -> bool:
     """Whether the text stops before its end."""
     text = answer.rstrip()
     marked = END_MARKS.search(text)
     if marked and marked.start() > 0:
         return _open(text[: marked.start()])
-    if text[:1] in "{[":
-        try:
-            json.loads(text)
-            return False
-        except ValueError:
-            pass
+    if is_json(text):
+        return False
     if _open(text):
         return True
     last = text[-1]
@@ -282,6 +289,8 @@ def is_foreign(question: str, answer: str) -> bool:
     if not mine or weight < 8:
         return False
     asked, _ = _language(question)
+    if asked == "latin" and question.isascii() and len(question.split()) > 3:
+        asked = "en"  # in the other languages a sentence without a single stopword hardly occurs
     if not asked or asked == mine or "latin" in (asked, mine) and asked not in ("zh", "ja", "ko", "ru") and mine not in ("zh", "ja", "ko", "ru"):
         return False
     if mine == "latin" and len(answer.split()) < 3:
@@ -379,7 +388,7 @@ def classify(input_data: str | None, output_data: str | None, error: str | None)
         return "copy"
     if is_cut(answer):
         return "truncated"
-    return "language" if is_foreign(question, answer) else None
+    return "language" if not is_json(answer) and is_foreign(question, answer) else None
 
 
 def broken_pairs(frame: DataFrame, key: str = "id", question: str = "input_data", answer: str = "output_data", error: str = "error_message") -> DataFrame:
