@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import spread
+
 #: Units and bytes of a chunk, the step back, and the marks that end one (fixed values).
 UNITS, BYTES, STEP = 400, 600, 10
 MARKS = "。！？；,.!?;"
@@ -67,4 +69,4 @@ def chunk_table(frame: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.string())], ["key", "position", "chunk"])
 
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, position int, chunk string").withColumnRenamed("key", key)
+    return spread(rows, "key").mapInArrow(run, "key long, position int, chunk string").withColumnRenamed("key", key)

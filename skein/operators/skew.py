@@ -36,3 +36,14 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     left = left.withColumn("__salt", F.when(F.col(left_key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
     right = right.withColumn("__group", F.explode(F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__group")), how).drop("__salt", "__group")
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """``frame`` over all cores where its files give less than half as many parts as there are cores.
+
+    For work that costs far more than moving the rows, on few or small files. Rows go by the hash of ``key``, so a
+    repeated task sees the same rows. Larger inputs have more parts than cores and are left as they are. Meant for
+    frames read from files: a frame that needs a shuffle would be run to count its parts.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() * 2 < cores else frame
