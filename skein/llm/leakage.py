@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import spread
+
 #: Share of an item that one passage must hold, and the share of it that must align after edits.
 SHARE, ALIGNED = 0.4, 0.37
 #: Least score of the alignment as a share of what its matched characters alone would score: one passage, not scattered phrases.
@@ -258,4 +260,4 @@ def _search_table(rows: DataFrame, items: tuple[tuple[int, str], ...]) -> DataFr
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["key", "item", "share"])
 
-    return rows.mapInArrow(run, "key long, item long, share double")
+    return spread(rows, "key").mapInArrow(run, "key long, item long, share double")

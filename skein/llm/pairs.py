@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import spread
+
 DEFECTS = ("refusal", "empty", "truncated", "copy", "language")
 
 #: Fields of a stored answer that hold counters and no text.
@@ -408,5 +410,5 @@ def broken_pairs(frame: DataFrame, key: str = "id", question: str = "input_data"
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int32())], ["id", "rank"])
 
     rows = frame.select(F.col(key).cast("long").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a"), F.col(error).alias("e")).where(F.col("id").isNotNull())
-    found = rows.mapInArrow(run, "id long, rank int").groupBy("id").agg(F.min("rank").alias("rank"))
+    found = spread(rows, "id").mapInArrow(run, "id long, rank int").groupBy("id").agg(F.min("rank").alias("rank"))
     return found.select("id", F.element_at(F.array(*map(F.lit, DEFECTS)), F.col("rank") + 1).alias("defect"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.tokenizer import BATCH, TOKENIZERS, VOCABULARY, Encoder, encoder
+from skein.operators.skew import spread
 
 #: Largest piece and largest overlap, in tokens.
 LIMIT, OVERLAP = 1024, 64
@@ -206,4 +207,4 @@ def split_table(frame: DataFrame, key: str = "doc_id", text: str = "text", limit
 
     schema = "key long, piece int, start int, end int, tokens int, overlap int, strength int" + ", text string" * with_text
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(rows, "key").mapInArrow(run, schema).withColumnRenamed("key", key)

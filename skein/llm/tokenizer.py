@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import spread
+
 #: Folder of the vocabulary files on every machine; the files are never copied into the repository.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -199,4 +201,4 @@ def encode_table(frame: DataFrame, key: str = "doc_id", text: str = "text", fold
                 yield pa.RecordBatch.from_arrays([batch["key"], lists], ["key", "ids"])
 
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
+    return spread(rows, "key").mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
