@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Aliases of providers (fixed values).
 RUN_ALIASES = {"stepfun": "step", "阶跃星辰": "step", "通义千问": "qwen", "智谱": "zhipu", "ai ping": "ai_ping"}
 CLIENT_ALIASES = RUN_ALIASES | {"open ai": "openai", "deep seek": "deepseek"}
+#: Voices of speech (fixed values); the first is the default.
+VOICES = ("CHERRY", "SERENA", "ETHAN", "CHELSIE", "MOMO", "VIVIAN", "MOON", "MAIA", "KAI", "NOFISH", "BELLA", "JENNIFER", "RYAN", "KATERINA", "AIDEN")
 #: Names of a placeholder in a template.
 PLACEHOLDER = r"\{\{(.*?)\}\}"
 
@@ -105,3 +107,20 @@ def audio_reference(output: Column) -> Column:
         F.when(field.contains("http://") | field.contains("https://"), field),
         F.when(field.startswith("/audio/"), field),
     )
+
+
+def voice(name: Column) -> Column:
+    """The voice in upper case; unknown and null ones give the default."""
+    wanted = F.upper(trimmed(name))
+    return F.when(wanted.isin(*VOICES), wanted).otherwise(VOICES[0])
+
+
+def palette(category: Column) -> Column:
+    """Where the editor lists a node: ``LLM`` or ``TOOL``; others, such as input and output, give null."""
+    kind = F.upper(trimmed(category))
+    return F.when(kind.isin("LLM", "TOOL"), kind)
+
+
+def missing_fields(**fields: Column) -> Column:
+    """Names of the fields that a request lacks because they are null or blank, as an array."""
+    return F.array_compact(F.array(*(F.when(is_blank(value), name) for name, value in fields.items())))

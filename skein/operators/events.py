@@ -65,3 +65,16 @@ def node_results(records: DataFrame, key: str = "id", text: str = "node_results"
     listed = F.when(F.trim(plain).startswith("{"), F.concat(F.lit("["), plain, F.lit("]"))).otherwise(plain)
     rows = records.select(key, F.posexplode(F.from_json(listed, shape)).alias("position", "r")).where(F.col("r").isNotNull())
     return rows.select(key, "position", F.col("r.nodeId").alias("node_id"), F.col("r.status").alias("status"), F.col("r.duration").alias("duration"))
+
+
+def chunk_progress(chunks: DataFrame, run: str, position: str = "position", text: str = "chunk") -> DataFrame:
+    """Progress events of speech: per chunk its begin, with the first 50 characters, and its end.
+
+    The number of an event follows from the place of its chunk, so the order does not depend on which chunk ends first.
+    """
+    chunks = chunks.withColumn("__total", F.count(F.lit(1)).over(W.partitionBy(run)))
+    total = F.col("__total")
+    begin = F.struct(total.alias("totalChunks"), (F.col(position) + 1).alias("currentChunk"), F.concat(F.substring(text, 1, 50), F.lit("...")).alias("chunkText"))
+    end = F.struct(total.alias("totalChunks"), (F.col(position) + 1).alias("currentChunk"), (F.col(position) + 1).alias("completedChunks"))
+    both = chunks.select(run, position, F.explode(F.array(F.struct(F.lit(0).alias("part"), F.to_json(begin).alias("data")), F.struct(F.lit(1).alias("part"), F.to_json(end).alias("data")))).alias("e"))
+    return both.select(run, (F.col(position) * 2 + F.col("e.part")).alias("seq"), F.lit("NODE_PROGRESS").alias("event_type"), F.col("e.data").alias("data"))

@@ -176,7 +176,8 @@ def speech_text(data: Mapping[str, Any], record: Column) -> Column:
 
 @node("tts")
 def _speech(item: Node, record: Column, outs: Column, settings: Settings) -> Column:
-    voice, speak = str(item.data.get("voice") or "CHERRY").upper(), settings.speak
+    wanted, speak = str(item.data.get("voice") or "").strip().upper(), settings.speak
+    voice = wanted if wanted in text.VOICES else text.VOICES[0]
 
     @F.pandas_udf("array<binary>")
     def run(texts: pd.Series) -> pd.Series:

@@ -76,3 +76,13 @@ def prompts(skills: DataFrame, references: DataFrame) -> DataFrame:
     part = F.array_join(F.transform("refs", lambda x: F.concat(F.lit("### "), x["ref"], F.lit("\n\n"), x["content"], F.lit("\n\n"))), "")
     head = F.concat(F.lit("# 技能: "), "name", F.lit("\n\n"), "description", F.lit("\n\n---\n\n## 技能指南\n\n"), "content", F.lit("\n\n"))
     return joined.select("name", F.concat(head, F.when(F.size("refs") > 0, F.concat(F.lit("## 参考文档\n\n"), part)).otherwise("")).alias("prompt"))
+
+
+def tool_arguments(text: Column) -> Column:
+    """What a tool call names, as a struct ``skill, reference``: from JSON, from ``skill:reference``, or a bare skill; null for blank text."""
+    plain = trimmed(text)
+    colon = F.locate(":", plain)
+    json = F.struct(F.get_json_object(plain, "$.skill_name").alias("skill"), F.get_json_object(plain, "$.reference_name").alias("reference"))
+    pair = F.struct(trimmed(F.substring_index(plain, ":", 1)).alias("skill"), trimmed(F.substring(plain, colon + 1, F.length(plain))).alias("reference"))
+    bare = F.struct(plain.alias("skill"), F.lit(None).cast("string").alias("reference"))
+    return F.when(~is_blank(text), F.when(plain.startswith("{"), json).when(colon > 0, pair).otherwise(bare))

@@ -300,6 +300,22 @@ def w_wav_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("doc_id", F.octet_length("wav").cast("long").alias("bytes"), F.conv(F.hex(low), 16, 10).cast("long").alias("riff"))
 
 
+@query("select count(*) as texts from documents where length(text) > 0")
+def w_chunk_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts whose progress events begin with the first chunk and end with the completed last one, counted."""
+    parts = chunking.chunk_table(table(spark, folder, "documents"), "doc_id", "text")
+    ends = events.chunk_progress(parts, "doc_id").groupBy("doc_id").agg(F.min_by("data", "seq").alias("first"), F.max_by("data", "seq").alias("last"))
+    good = (F.get_json_object("first", "$.currentChunk") == "1") & (F.get_json_object("last", "$.completedChunks") == F.get_json_object("last", "$.totalChunks"))
+    return ends.where(good).agg(F.count(F.lit(1)).alias("texts"))
+
+
+@query("""select node_type, case when upper(trim(category)) in ('LLM', 'TOOL') then upper(trim(category)) end as palette, concat_ws(',', case when coalesce(trim(display_name), '') = '' then 'display_name' end, case when coalesce(trim(category), '') = '' then 'category' end) as missing from node_definition""")
+def w_palette(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the editor lists each node definition, and which of its fields are missing."""
+    lacking = text.missing_fields(display_name=F.col("display_name"), category=F.col("category"))
+    return table(spark, folder, "node_definition").select("node_type", text.palette(F.col("category")).alias("palette"), F.array_join(lacking, ",").alias("missing"))
+
+
 @query("select user_id, arg_max(event_type, (ts, event_id)) as event_type, min(event_id) as first_seen, count(*) as events from events group by user_id")
 def w_event_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The last event of each user."""

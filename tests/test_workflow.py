@@ -150,6 +150,15 @@ def test_names_and_addresses(spark):
     assert tuple(got) == ("https://h", "https://h/api", "https://h", "step", "MyCorp", "", "02:05", 42, "ADMIN")
 
 
+def test_tool_arguments_voices_and_requests(spark):
+    from skein.sources.skills import tool_arguments
+
+    frame = spark.createDataFrame([('{"skill_name": "a", "reference_name": "b"}',), (" a : b ",), ("a",), ("  ",), (None,)], "t string")
+    assert [x[0] and tuple(x[0]) for x in frame.select(tool_arguments(F.col("t"))).collect()] == [("a", "b"), ("a", "b"), ("a", None), None, None]
+    got = one(spark, text.voice(F.lit("serena")), text.voice(F.lit("x")), text.voice(F.lit(None).cast("string")), text.palette(F.lit(" llm")), text.palette(F.lit("IO")), text.missing_fields(a=F.lit(" \u3000"), b=F.lit("x"), c=F.lit(None).cast("string")))
+    assert tuple(got) == ("SERENA", "CHERRY", "CHERRY", "LLM", None, ["a", "c"])
+
+
 def test_crypto(spark):
     hidden = crypto.encrypt(F.lit("钥匙"), "s")
     got = one(spark, hidden, crypto.decrypt(hidden, "s"), crypto.encrypt(F.lit("enc:v1:x"), "s"), crypto.encrypt(F.lit("  "), "s"), crypto.encrypt(F.lit(None).cast("string"), "s"), crypto.decrypt(F.lit("plain"), "s"))
