@@ -99,14 +99,16 @@ def levels(edge_table: DataFrame, key: str, depth: int = 64) -> DataFrame:
     A recursive query over the edges; ``depth`` bounds the recursion for graphs with cycles, whose nodes it leaves out
     when no start reaches them.
     """
-    view = f"__edges_{abs(hash((key, id(edge_table))))}"
-    edge_table.select(F.col(key).alias("g"), "source", "target").distinct().createOrReplaceTempView(view)
-    found = edge_table.sparkSession.sql(f"""
+    rows = edge_table.select(F.col(key).alias("g"), "source", "target").distinct()
+    found = edge_table.sparkSession.sql(
+        f"""
         with recursive walk(g, node, level) as (
-          select distinct e.g, e.source, 0 from {view} e left anti join {view} b on b.g = e.g and b.target = e.source
+          select distinct e.g, e.source, 0 from {{rows}} e left anti join {{rows}} b on b.g = e.g and b.target = e.source
           union all
-          select e.g, e.target, w.level + 1 from walk w join {view} e on e.g = w.g and e.source = w.node where w.level < {depth}
-        ) select g, node, max(level) as level from walk group by g, node""")
+          select e.g, e.target, w.level + 1 from walk w join {{rows}} e on e.g = w.g and e.source = w.node where w.level < {depth}
+        ) select g, node, max(level) as level from walk group by g, node""",
+        rows=rows,
+    )
     return found.select(F.col("g").alias(key), F.col("node").alias("node_id"), "level")
 
 

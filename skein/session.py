@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +24,13 @@ def local_session(name: str = "skein", cores: str = "8", partitions: int = 8) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A local path of the folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """A new place below the folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        place = folder.removeprefix("file://").removeprefix("file:")
-        os.makedirs(place, exist_ok=True)
-        return place
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="skein-")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skein-")
+    return f"{folder}/skein-{uuid.uuid4().hex}"
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions import audio, chunking, crypto, text
 from skein.operators import events, graphs, metadata
 from skein.plans import engine, providers
+from skein.session import shared_folder
 from skein.sources import skills
 from skein.sources.tables import table
 from skein.streaming import events as streams
@@ -392,13 +393,9 @@ def w_audio(spark: SparkSession, folder: str) -> DataFrame:
 @query("select event_type, count(*) as events, arg_max(value, (ts, event_id)) as value from events group by event_type")
 def w_event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The fold of events run as a stream to its end; the result is that of the batch fold."""
-    import tempfile
-
-    from skein.session import shared_folder
-
     rows = table(spark, folder, "events")
     with_path = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    place = tempfile.mkdtemp(prefix="stream-", dir=shared_folder(spark))
+    place = shared_folder(spark)
     stream = streams.latest_by_key(with_path, ["event_type"], ["ts", "event_id"], "value")
     done = streams.write_batches(stream, f"{place}/state", lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/out/batch={number:012d}"), "complete")
     done.awaitTermination()
