@@ -7,7 +7,7 @@ few diagonals. So shared q-grams are counted per item in overlapping bands of di
 verified by a banded local alignment, and an item has leaked when the aligned characters reach the share.
 
 The items are the bounded side (their number is checked); they are indexed once per worker, and every text is searched
-whole, in one pass without a shuffle. More items than ``ITEMS`` are searched in blocks.
+whole, in one pass without a shuffle. More than ``ITEMS`` items or ``ITEM_CHARS`` characters are searched in blocks.
 
 Defined results: null and empty texts or items give no row; repeated items of one id are searched each, and a pair is
 given once; texts of any length are searched whole; rows without an id are left out.
@@ -41,8 +41,8 @@ BAND = 192
 HALF = BAND // 2
 #: Keys of bands: diagonals are shifted to be positive, and a text and an item have so many bands at most.
 SHIFT, SPANS = HALF << 24, 1 << 32
-#: Items searched in one pass.
-ITEMS = 5000
+#: Items, and characters of items, searched in one pass.
+ITEMS, ITEM_CHARS = 5000, 4_000_000
 #: Texts searched at a time.
 BATCH = 128
 
@@ -231,12 +231,13 @@ def _index(items: tuple[tuple[int, str], ...]) -> Index:
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", per_pass: int = ITEMS) -> DataFrame:
     """``doc_id, item_id, share`` of every document that holds a passage of an item.
 
-    ``items`` is the bounded side: it is read to the driver, in blocks of ``per_pass`` by id where there are more, and
-    each block is searched in one pass over the documents.
+    ``items`` is the bounded side: blocks of at most about ``per_pass`` items and ``ITEM_CHARS`` characters are read to
+    the driver and sent to the workers, and each block is searched in one pass over the documents.
     """
     held = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & (F.length("t") > 0)).distinct()
     rows = documents.select(F.col(doc_id).cast("long").alias("key"), F.col(doc_text).alias("text")).where(F.col("key").isNotNull() & (F.length("text") > 0))
-    blocks = max(1, -(-held.count() // per_pass))
+    size = held.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.items // per_pass), -(-size.chars // ITEM_CHARS))
     parts = []
     for number in range(blocks):
         mine = held if blocks == 1 else held.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)

@@ -7,7 +7,7 @@ votes of scripts and stopwords.
 Defined results: a null, blank, invisible or placeholder answer is ``empty`` whatever else the row holds, unless the
 error says that the model or provider declined (``refusal``); a null or blank question leaves copy and language out;
 rows without an id are left out; of several rows of one id the first defect in the order of ``DEFECTS`` counts; texts
-of any length are read whole. Only the named columns are read.
+of any length are read whole, and the automaton of a question takes some 300 bytes a character while its pair is judged. Only the named columns are read.
 """
 
 from __future__ import annotations
