@@ -35,11 +35,11 @@ QUESTION_FIELDS = ("input", "user_input", "question", "prompt", "text", "query")
 PLACEHOLDERS = frozenset("null none nil na n/a nan undefined empty tbd todo 无 空 暂无 没有 无内容 なし".split())
 
 #: Words of refusals; phrases are every combination of an inability and an act.
-UNABLE_EN = ("can't", "cannot", "can not", "unable to", "not able to", "won't be able to", "will not be able to", "won't", "not possible for me to", "not allowed to", "not permitted to", "do not let me", "don't let me", "not comfortable")
+UNABLE_EN = ("can't", "cannot", "can not", "unable to", "not able to", "won't be able to", "will not be able to", "won't", "will not", "must not", "would rather not", "prefer not to", "not possible for me to", "not allowed to", "not permitted to", "do not let me", "don't let me", "not comfortable")
 ACTS_EN = ("help", "assist", "provide", "produce", "create", "write", "discuss", "discussing", "answer", "comply", "fulfil", "fulfill", "process", "generate", "support", "cover", "share", "complete", "respond", "talk about")
 UNABLE_ZH = ("无法", "不能", "没办法", "没法", "不方便", "不便", "不可以", "拒绝")
 ACTS_ZH = ("提供", "讨论", "写", "生成", "回答", "处理", "完成", "满足", "协助", "帮助", "帮你", "帮您", "为你", "为您", "创作", "给出", "继续", "支持", "执行", "谈论", "输出")
-REFUSALS = ("have to decline", "must decline", "request declined", "i decline", "i refuse", "outside what i", "beyond what i", "let's talk about something else", "超出了我", "换个问题", "换一个吧", "换个话题", "no puedo ayudar", "no puedo responder", "お答えできません", "お手伝いできません")
+REFUSALS = ("have to decline", "must decline", "request declined", "i decline", "i refuse", "outside what i", "beyond what i", "must leave to", "let's talk about something else", "超出了我", "换个问题", "换一个吧", "换个话题", "no puedo ayudar", "no puedo responder", "お答えできません", "お手伝いできません")
 REFUSED_ERRORS = ("content_filter", "content filter", "拒绝回答", "审核未通过", "safety system", "declined the request", "content policy", "blocked by content", "model refused", "provider refused")
 CUT_ERRORS = ("partial answer", "已截断", "截断", "finish_reason=length", "stream closed", "max_tokens", "truncated", "输出达到上限")
 
@@ -58,6 +58,8 @@ TERMINAL = frozenset(".。!！?？…~～;；")
 CLOSERS = {"”": "“", "’": "‘", "」": "「", "』": "『", "）": "（", ")": "(", "]": "[", "}": "{", "】": "【", "》": "《"}
 OPENERS = frozenset(x for x in CLOSERS.values() if x != "‘")
 LIST_ITEM = re.compile(r"^\s*(?:[-*•·+]|\(?\d+[.)、．]|[一二三四五六七八九十]+、)\s*")
+#: A line with nothing but the mark of a list item, a heading, a quotation or a label.
+BARE_MARK = re.compile(r"^\s*(?:[-*•·+#>|]+|\(?\d+[.)、．]|[一二三四五六七八九十]+、|[^\s:：]{1,12}[:：])\s*$")
 SENTENCE = re.compile(r"[^.。!！?？\n]*[.。!！?？\n]*")
 QUOTED = re.compile(r"“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"\n]*\"")
 #: A short answer without any end mark inside, such as a title: up to so many words or wide characters.
@@ -239,6 +241,8 @@ def is_cut(answer: str) -> bool:
         return False
     if _open(text):
         return True
+    if "\n" in text and BARE_MARK.match(text[text.rindex("\n") + 1 :]):
+        return True
     last = text[-1]
     if last in TERMINAL or last in CLOSERS or last in "\"'`*_|>" or unicodedata.category(last) == "So":
         return False

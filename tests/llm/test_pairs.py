@@ -28,7 +28,7 @@ def test_stored_without_an_answer(stored):
     assert classify('{"input":"hi there"}', stored, None) in ("empty", "truncated" if stored == '{"out' else "empty")
 
 
-@pytest.mark.parametrize("answer", ["I'm sorry, but I can’t help with that request.", "抱歉，我无法讨论重试队列。", "Request declined.", "As an assistant it is not possible for me to write material of this sort. Please try another subject.", "这个话题我们还是换一个吧，我不能回答。"])
+@pytest.mark.parametrize("answer", ["I'm sorry, but I can’t help with that request.", "抱歉，我无法讨论重试队列。", "Request declined.", "That is something I must leave to a qualified person; I will not answer it.", "As an assistant it is not possible for me to write material of this sort. Please try another subject.", "这个话题我们还是换一个吧，我不能回答。"])
 def test_refusals(answer):
     assert pair(Q_EN, answer) == pair(Q_ZH, answer) == "refusal"
 
@@ -43,7 +43,7 @@ def test_no_refusals_in_chinese():
     assert pair(Q_ZH, "主播甲：我没法再多夸它一句了！\n主播乙：" + LONG_ZH) is None
 
 
-@pytest.mark.parametrize("answer", [LONG_EN[:-30], LONG_ZH[:-9], LONG_EN + " It said (and then", "```\nsteps:\n  - name: Ask", LONG_EN + " For example, the"])
+@pytest.mark.parametrize("answer", [LONG_EN[:-30], LONG_ZH[:-9], LONG_EN + " It said (and then", "```\nsteps:\n  - name: Ask", LONG_EN + " For example, the", "1. first of all things\n2. second of all things\n3."])
 def test_cut(answer):
     assert pair(Q_EN if answer.isascii() else Q_ZH, answer) == "truncated"
 
