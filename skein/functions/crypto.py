@@ -6,6 +6,7 @@ Already encrypted and blank values pass unchanged, so encryption may be repeated
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -43,29 +44,63 @@ def mask(value: Column, visible: Column) -> Column:
     return F.when(visible, value).otherwise("")
 
 
-def _replace(node: Any, field: str, put: str) -> Any:
+def _walk(node: Any, field: str, change: Callable[[str], str]) -> Any:
+    """``node`` with every non-blank string under ``field``, at any depth, changed; in the order of the document."""
     if isinstance(node, dict):
-        return {key: put if key == field and isinstance(value, str) and value.strip() else _replace(value, field, put) for key, value in node.items()}
-    return [_replace(value, field, put) for value in node] if isinstance(node, list) else node
+        return {key: change(value) if key == field and isinstance(value, str) and value.strip() else _walk(value, field, change) for key, value in node.items()}
+    return [_walk(value, field, change) for value in node] if isinstance(node, list) else node
+
+
+def _rewritten(body: str | None, field: str, change: Callable[[str], str]) -> str | None:
+    if body is None or field not in body:
+        return body
+    try:
+        return json.dumps(_walk(json.loads(body), field, change), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return body
 
 
 def replace_in_json(text: Column, field: str = "apiKey", put: str = "***") -> Column:
     """JSON text with every non-blank string under ``field``, at any depth, replaced; what cannot be parsed passes unchanged.
 
-    Spark has no deep rewrite of JSON, so rows that mention the field go through an Arrow function; the others stay in
-    the JVM.
+    Spark has no deep rewrite of JSON, so this is an Arrow function; texts that do not mention the field are not parsed.
     """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        def one(body: str | None) -> str | None:
-            if body is None or field not in body:
-                return body
-            try:
-                return json.dumps(_replace(json.loads(body), field, put), ensure_ascii=False, separators=(",", ":"))
-            except (ValueError, RecursionError):
-                return body
+        return texts.map(lambda body: _rewritten(body, field, lambda _: put))
+
+    return run(text)
+
+
+def _change_in_json(text: Column, field: str, change: Callable[[Column], Column]) -> Column:
+    """The strings under ``field`` taken out, changed by a column expression, and put back in their order."""
+
+    @F.pandas_udf("array<string>")
+    def take(texts: pd.Series) -> pd.Series:
+        def one(body: str | None) -> list[str]:
+            held: list[str] = []
+            _rewritten(body, field, lambda value: held.append(value) or value)
+            return held
 
         return texts.map(one)
 
-    return run(text)
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, values: pd.Series) -> pd.Series:
+        def one(body: str | None, held: Any) -> str | None:
+            left = iter(() if held is None else held)
+            return _rewritten(body, field, lambda value: next(left, value))
+
+        return pd.Series([one(body, held) for body, held in zip(texts, values, strict=True)], dtype=object)
+
+    return put(text, F.transform(take(text), change))
+
+
+def encrypt_in_json(text: Column, secret: str, field: str = "apiKey") -> Column:
+    """JSON text with every key encrypted; encrypted ones, blank ones and texts that cannot be parsed pass unchanged."""
+    return _change_in_json(text, field, lambda value: encrypt(value, secret))
+
+
+def decrypt_in_json(text: Column, secret: str, field: str = "apiKey") -> Column:
+    """JSON text with every encrypted key in plain; others pass unchanged."""
+    return _change_in_json(text, field, lambda value: decrypt(value, secret))

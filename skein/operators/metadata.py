@@ -191,3 +191,9 @@ def updated(frame: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """The table with changed rows in place of old ones and new rows added, ``updated_at`` set to now."""
     stamped = changes.withColumn("updated_at", F.current_timestamp().cast(frame.schema["updated_at"].dataType))
     return frame.join(changes.select(key), key, "left_anti").select(*frame.columns).unionByName(stamped.select(*frame.columns))
+
+
+def encrypted_keys(frame: DataFrame, secret: str, column: str = "api_key", json: bool = False) -> DataFrame:
+    """The table with the keys of a column encrypted, or those inside its JSON; running it again changes nothing."""
+    change = crypto.encrypt_in_json if json else crypto.encrypt
+    return frame.withColumn(column, change(F.col(column), secret))

@@ -167,6 +167,20 @@ def test_crypto(spark):
     assert [x[0] for x in frame.select(crypto.replace_in_json(F.col("j"))).collect()] == ['{"a":[{"apiKey":"***","n":"中"}],"apiKey":3}', "apiKey {", None]
 
 
+def test_crypto_in_json(spark):
+    from skein.operators.metadata import encrypted_keys
+
+    body = '{"nodes":[{"data":{"apiKey":"k1","n":"中"}},{"data":{"apiKey":""}}],"apiKey":"k2"}'
+    frame = spark.createDataFrame([(body,), ("apiKey {",), (None,), ("{}",)], "j string")
+    hidden = encrypted_keys(frame, "s", "j", json=True)
+    once = [x[0] for x in hidden.collect()]
+    keys = json.loads(once[0])
+    assert keys["nodes"][0]["data"]["apiKey"].startswith("enc:v1:") and keys["apiKey"].startswith("enc:v1:") and keys["nodes"][1]["data"]["apiKey"] == ""
+    assert once[1:] == ["apiKey {", None, "{}"]
+    twice = encrypted_keys(hidden, "s", "j", json=True)
+    assert [x[0] for x in twice.select(crypto.decrypt_in_json(F.col("j"), "s")).collect()] == [body, "apiKey {", None, "{}"]
+
+
 def test_wav(spark):
     parts = [providers.tone("a" * 10, "X"), providers.tone("b" * 6, "X")]
     frame = spark.createDataFrame([(parts,), (parts[:1],), ([b"short"],), ([],)], "p array<binary>")
