@@ -339,7 +339,8 @@ def _text_of(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False) if value != [] else ""
 
 
-BROKEN_VALUE = re.compile(r'^\s*"?\s*\{\s*\\?"(?!(?:inputTokens|outputTokens|totalTokens|tokens|chunks)\\?")[^"\\]+\\?"\s*:\s*\\?"?')
+#: The first text in a JSON object that is cut off: a field that is no counter, and its string as far as it goes.
+CUT_TEXT = re.compile(r'"(?!(?:inputTokens|outputTokens|totalTokens|tokens|chunks)")[^"\\]+"\s*:\s*"((?:[^"\\]|\\.)*)')
 
 
 def answer_of(stored: str | None) -> tuple[str, bool]:
@@ -352,7 +353,8 @@ def answer_of(stored: str | None) -> tuple[str, bool]:
     try:
         value = json.loads(text)
     except (ValueError, RecursionError):
-        return BROKEN_VALUE.sub("", text).rstrip('"}'), False
+        found = CUT_TEXT.search(text[1:].replace('\\"', '"') if text[0] == '"' else text)
+        return found[1] if found else "", False
     if isinstance(value, str) and value.strip()[:1] in ("{", "["):
         try:
             value = json.loads(value)

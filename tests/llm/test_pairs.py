@@ -23,9 +23,14 @@ def test_empty(answer):
     assert pair(Q_EN, answer, "connection refused, attempt 3") == "empty"
 
 
-@pytest.mark.parametrize("stored", [None, "", "   ", "null", "{}", '{"inputTokens": 3, "tokens": 4}', '{"output": null}', "[]", '{"out', '{"output":"'])
+@pytest.mark.parametrize("stored", [None, "", "   ", "null", "{}", '{"inputTokens": 3, "tokens": 4}', '{"output": null}', "[]", '{"out', '{"output":"', '{"tokens": 4, "output": ', '{"output": nul'])
 def test_stored_without_an_answer(stored):
-    assert classify('{"input":"hi there"}', stored, None) in ("empty", "truncated" if stored == '{"out' else "empty")
+    assert classify('{"input":"hi there"}', stored, None) == "empty"
+
+
+@pytest.mark.parametrize("stored", ['{"output":"The queue keeps', '{"tokens": 3, "answer": "The queue \\"keeps', '"{\\"output\\": \\"The queue keeps', '{"output":"The queue keeps it.", "tok'])
+def test_stored_answers_that_are_cut_off(stored):
+    assert classify('{"input":"hi there"}', stored, None) == "truncated"
 
 
 @pytest.mark.parametrize("answer", ["I'm sorry, but I can’t help with that request.", "抱歉，我无法讨论重试队列。", "Request declined.", "That is something I must leave to a qualified person; I will not answer it.", "As an assistant it is not possible for me to write material of this sort. Please try another subject.", "这个话题我们还是换一个吧，我不能回答。"])
