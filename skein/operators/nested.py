@@ -116,24 +116,33 @@ def _bridge(columns: list[list[Any]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["root_id", "export_file", "path", "parent_path", "ordinal", "child_key", "object_id"])
 
 
-def objects(frame: DataFrame, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
-    """The store: every distinct object once, as ``object_id, body, occurrences``; nested objects in a body are ``{"#": object_id}``.
-
-    Equal objects are combined within each Arrow batch and again before the shuffle, so an object that stands in a third
-    of all rows costs a row per batch.
-    """
+def counts(frame: DataFrame, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
+    """``object_id, body, occurrences`` with equal objects combined within each Arrow batch only; ``store`` brings them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, str], int] = {}
+            held: dict[tuple[str, str], int] = {}
             for body in batch["text"].to_pylist():
                 document = decode(body)
                 if document is not BROKEN:
                     for item in shred(document, single_is_array)[1]:
-                        counts[item] = counts.get(item, 0) + 1
-            if counts:
-                names, bodies = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([_strings(list(names)), _strings(list(bodies)), pa.array(counts.values(), pa.int64())], ["object_id", "body", "occurrences"])
+                        held[item] = held.get(item, 0) + 1
+            if held:
+                names, bodies = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([_strings(list(names)), _strings(list(bodies)), pa.array(held.values(), pa.int64())], ["object_id", "body", "occurrences"])
+
+    return _documents(frame, root_id, text, export_file).mapInArrow(run, "object_id string, body string, occurrences long")
+
 
-    found = _documents(frame, root_id, text, export_file).mapInArrow(run, "object_id string, body string, occurrences long")
+def store(found: DataFrame) -> DataFrame:
+    """Every distinct object once, from the ``counts`` of one source or the union of several."""
     return found.groupBy("object_id", "body").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def objects(frame: DataFrame, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
+    """The store: every distinct object once, as ``object_id, body, occurrences``; nested objects in a body are ``{"#": object_id}``.
+
+    Equal objects are combined within each Arrow batch and again before the shuffle, so an object that stands in a third
+    of all rows costs a row per batch.
+    """
+    return store(counts(frame, root_id, text, export_file, single_is_array))

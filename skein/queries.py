@@ -34,16 +34,23 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, folder))
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every object in an array of ``flow_data`` or ``node_results``, with its link to the object that holds it."""
+def p3_bridge(spark: SparkSession, folder: str) -> DataFrame:
+    """Every object in an array of ``flow_data`` or ``node_results`` with its place, its ordinal and its ``object_id`` in the store."""
     flows = nested.occurrences(table(spark, folder, "workflow"), "workflow", "id", "flow_data", "export_file")
     runs = nested.occurrences(table(spark, folder, "execution_record"), "execution_record", "id", "node_results", single_is_array=True)
-    return flows.unionByName(runs).select("root_table", "root_id", "export_file", "path", "parent_path", "child_key")
+    return flows.unionByName(runs)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every object in an array of ``flow_data`` or ``node_results``, with its link to the object that holds it."""
+    return p3_bridge(spark, folder).select("root_table", "root_id", "export_file", "path", "parent_path", "child_key")
 
 
 def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """The distinct objects of ``flow_data``, each once, with the number of its occurrences."""
-    return nested.objects(table(spark, folder, "workflow"), "id", "flow_data", "export_file")
+    """The distinct objects of ``flow_data`` and ``node_results``, each once, with the number of its occurrences in both."""
+    flows = nested.counts(table(spark, folder, "workflow"), "id", "flow_data", "export_file")
+    runs = nested.counts(table(spark, folder, "execution_record"), "id", "node_results", single_is_array=True)
+    return nested.store(flows.unionByName(runs))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +126,7 @@ with files as (
 )
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_objects, p5_found, p5_catalogue, p5_table)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_found, p3_objects, p5_found, p5_catalogue, p5_table)}
 
 SQL: dict[str, str] = {
     "p2_found": _STATES + "select ref, id, reason, period from direct",

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skein import queries
 from skein.functions.jsontree import BROKEN, decode
 from skein.operators.nested import objects, occurrences, shred
 from tests.conftest import rows
@@ -63,3 +64,16 @@ def test_one_object_as_array_and_the_store(spark):
     assert rows(occurrences(frame, "t", "id", "body", single_is_array=True).select("root_id", "path", "parent_path")) == [(1, "0", ""), (1, "0/x/0", "0"), (2, "0", "")]
     store = {json.loads(x.body).get("id"): x.occurrences for x in objects(frame, "id", "body", single_is_array=True).collect()}
     assert store == {"a": 1, "b": 2}
+
+
+def test_store_and_bridge_hold_both_tables(spark, tmp_path):
+    shared = {"id": "a", "arguments": {"k": 1}}
+    spark.createDataFrame([(1, json.dumps({"nodes": [shared]}), "f")], "id long, flow_data string, export_file string").write.parquet(f"{tmp_path}/workflow.parquet")
+    runs = [(7, json.dumps({"nodeId": "n", "attempts": [shared, {"tool": "t"}]})), (8, json.dumps([shared]))]
+    spark.createDataFrame(runs, "id long, node_results string").write.parquet(f"{tmp_path}/execution_record.parquet")
+    store = {x.object_id: (json.loads(x.body), x.occurrences) for x in queries.p3_objects(spark, str(tmp_path)).collect()}
+    bridge = {(x.root_table, x.root_id, x.path): (x.ordinal, *store[x.object_id]) for x in queries.p3_bridge(spark, str(tmp_path)).collect()}
+    assert set(bridge) == {("workflow", 1, "nodes/0"), ("execution_record", 7, "0"), ("execution_record", 7, "0/attempts/0"), ("execution_record", 7, "0/attempts/1"), ("execution_record", 8, "0")}
+    assert bridge["execution_record", 7, "0/attempts/1"] == (1, {"tool": "t"}, 1)
+    assert bridge["workflow", 1, "nodes/0"] == bridge["execution_record", 8, "0"] and bridge["workflow", 1, "nodes/0"][2] == 3
+    assert ({"k": 1}, 3) in store.values()
