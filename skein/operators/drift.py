@@ -125,6 +125,15 @@ def catalogue(fields: DataFrame, files: DataFrame) -> DataFrame:
     return spans.groupBy("path", "island").agg(F.min("file").alias("first_file"), F.max("file").alias("last_file"), F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_set("types")), ", ").alias("types"))
 
 
+def type_catalogue(fields: DataFrame, files: DataFrame) -> DataFrame:
+    """Lifespans per path, type and island: first and last file, number of files. A field that stays while its type changes has a lifespan for each type."""
+    over = W.partitionBy("path", "type").orderBy("rank")
+    seen = fields.select("file", "path", "type").distinct().join(files, "file").withColumn("before", F.lag("rank").over(over))
+    starts = F.coalesce(F.col("before") < F.col("rank") - 1, F.lit(True))
+    spans = seen.withColumn("island", F.sum(starts.cast("int")).over(over))
+    return spans.groupBy("path", "type", "island").agg(F.min("file").alias("first_file"), F.max("file").alias("last_file"), F.count(F.lit(1)).alias("files"))
+
+
 def _parent(column: str) -> F.Column:
     return F.regexp_replace(column, r"(^|\.)[^.]*$", "")
 

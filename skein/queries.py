@@ -64,6 +64,12 @@ def p5_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return drift.catalogue(drift.inventory(workflows, "export_file", "flow_data"), drift.file_ranks(workflows, "export_file"))
 
 
+def p5_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Lifespans of each type of the fields of ``flow_data``."""
+    workflows = table(spark, folder, "workflow")
+    return drift.type_catalogue(drift.inventory(workflows, "export_file", "flow_data"), drift.file_ranks(workflows, "export_file"))
+
+
 def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     """All workflows of all files in one consistent form."""
     return drift.consistent(table(spark, folder, "workflow"), "export_file", "id", "flow_data")
@@ -126,7 +132,7 @@ with files as (
 )
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_found, p3_objects, p5_found, p5_catalogue, p5_table)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_found, p3_objects, p5_found, p5_catalogue, p5_types, p5_table)}
 
 SQL: dict[str, str] = {
     "p2_found": _STATES + "select ref, id, reason, period from direct",
@@ -149,6 +155,13 @@ select path, dense_rank() over (partition by path order by run) as island, first
     string_agg(distinct types, ', ' order by types) as types
   from ranked group by path, run
 )""",
+    "p5_types": _FIELDS
+    + """, ranked as (
+  select export_file, path, kind, f.rank - row_number() over (partition by path, kind order by f.rank) as run from fields join files f using (export_file)
+)
+select path, kind as type, dense_rank() over (partition by path, kind order by run) as island,
+  min(export_file) as first_file, max(export_file) as last_file, count(*) as files
+from ranked group by path, kind, run""",
     "p5_found": _FIELDS
     + """, typed as (
   select export_file, path, rank, string_agg(kind, '|' order by kind) as types from fields join files using (export_file) group by all

@@ -3,7 +3,7 @@ import json
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from skein.operators.drift import aliases, catalogue, changes, consistent, file_ranks, footer_inventory, inventory
+from skein.operators.drift import aliases, catalogue, changes, consistent, file_ranks, footer_inventory, inventory, type_catalogue
 from tests.conftest import rows
 
 SCHEMA = "id long, body string, file string, path string, rank int"
@@ -66,3 +66,10 @@ def test_footers(spark, tmp_path):
     pq.write_table(pa.table({"a": [1], "s": [{"x": "y"}], "l": [[{"k": 1.0}]]}), tmp_path / "one.parquet")
     found = rows(footer_inventory(spark, [str(tmp_path / "one.parquet")]).select("path", "type"))
     assert found == [("a", "int64"), ("l", "array"), ("l[].k", "double"), ("s", "object"), ("s.x", "string")]
+
+
+def test_each_type_has_its_own_lifespan(spark):
+    frame = table(spark, (1, {"t": 1}, "f1"), (1, {"t": 1}, "f2"), (2, {"t": "x"}, "f2"), (2, {"t": "x"}, "f3"), (1, {"t": 2}, "f4"), (1, {"t": 2}, "f4"))
+    spans = rows(type_catalogue(inventory(frame, "file", "body"), file_ranks(frame, "file")).select("path", "type", "island", "first_file", "last_file", "files"))
+    assert spans == [("t", "number", 1, "f1", "f2", 2), ("t", "number", 2, "f4", "f4", 1), ("t", "string", 1, "f2", "f3", 2)]
+    assert type_catalogue(inventory(frame.limit(0), "file", "body"), file_ranks(frame.limit(0), "file")).count() == 0
