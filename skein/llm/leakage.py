@@ -203,24 +203,30 @@ def align(jobs: Sequence[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarra
     return best & (unit - 1), best // unit
 
 
+def passes(share: float, density: float) -> bool:
+    """Whether one alignment holds enough of its item, and densely enough."""
+    return share >= ALIGNED and density >= DENSITY
+
+
 def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, float, float]]:
-    """``(number of the text, item id, share of the item aligned, density)`` of everything verified.
+    """``(number of the text, item id, share of the item aligned, density)`` of everything verified, one band each.
 
-    Density is the score of the alignment as a share of that of its matched characters without any edit.
+    Density is the score of the alignment as a share of that of its matched characters without any edit. A band that
+    passes both tests goes before any that does not, then the larger share.
     """
     plain = [codes(reduced(text) + "\0") if text else np.zeros(1, np.uint32) for text in texts]
     sizes = np.fromiter(map(len, plain), np.int64, len(plain))
     starts = np.cumsum(sizes) - sizes
     jobs = sorted(index.candidates(np.concatenate(plain), starts), key=lambda x: len(index.items[x[1]].points))
-    best: dict[tuple[int, int], tuple[float, float]] = {}
+    best: dict[tuple[int, int], tuple[bool, float, float]] = {}
     for first in range(0, len(jobs), 64):
         part = jobs[first : first + 64]
         matched, scores = align([(index.items[item].points, plain[text], diagonal) for text, item, diagonal in part])
         for (text, item, _), chars, score in zip(part, matched.tolist(), scores.tolist(), strict=True):
             if chars:
-                found = chars / len(index.items[item].points), score / (MATCH * chars)
-                best[text, item] = max(best.get((text, item), (0.0, 0.0)), found)
-    return [(text, index.items[item].name, *found) for (text, item), found in best.items()]
+                share, density = chars / len(index.items[item].points), score / (MATCH * chars)
+                best[text, item] = max(best.get((text, item), (False, 0.0, 0.0)), (passes(share, density), share, density))
+    return [(text, index.items[item].name, share, density) for (text, item), (_, share, density) in best.items()]
 
 
 @lru_cache(maxsize=2)
@@ -257,7 +263,7 @@ def _search_table(rows: DataFrame, items: tuple[tuple[int, str], ...]) -> DataFr
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 names = batch["key"].to_pylist()
-                found = [(names[text], item, share) for text, item, share, density in search(index, batch["text"].to_pylist()) if share >= ALIGNED and density >= DENSITY] if index.items else []
+                found = [(names[text], item, share) for text, item, share, density in search(index, batch["text"].to_pylist()) if passes(share, density)] if index.items else []
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["key", "item", "share"])
 

@@ -98,3 +98,15 @@ def test_table(spark):
     assert rows(leakage.leaked(docs, items).select("doc_id", "item_id")) == [(1, 1), (4, 2)]
     assert rows(leakage.leaked(docs, items, per_pass=1).select("doc_id", "item_id")) == [(1, 1), (4, 2)]
     assert leakage.leaked(docs.limit(0), items).count() == 0 and leakage.leaked(docs, items.limit(0)).count() == 0
+
+
+def test_a_dense_passage_counts_beside_a_longer_thin_one():
+    item = leakage.reduced(chinese(2))
+    size = len(item)
+    thin = "".join(item[i : i + 16] + "x" * 8 for i in range(0, int(size * 0.66), 16))
+    dense = part(item, size // 2, 0.45)
+    index = leakage.Index([(2, item)])
+    ((_, _, share, density),) = leakage.search(index, [thin])
+    assert share > 0.5 and density < leakage.DENSITY
+    ((_, _, share, density),) = leakage.search(index, [thin + english(77) + dense])
+    assert share > 0.4 and density > 0.9
