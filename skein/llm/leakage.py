@@ -3,8 +3,9 @@
 Texts are reduced to letters and digits in one case and width. For an item of m characters a passage counts when it holds
 at least ``SHARE`` of them. By the q-gram lemma a passage of L characters with ``blocks`` edited places of ``edited``
 characters altogether keeps at least L - q + 1 - blocks * (q - 1) - edited of its q-grams, and all of them lie within
-few diagonals. So shared q-grams are counted per item in overlapping bands of diagonals; bands that reach the bound are
-verified by a banded local alignment, and an item has leaked when the aligned characters reach the share.
+few diagonals. So shared q-grams are counted per item in overlapping bands of diagonals, wide enough for the edits of a
+passage of that item; every band that reaches the bound is verified by a banded local alignment, and an item has leaked
+when the aligned characters reach the share.
 
 The items are the bounded side (their number is checked); they are indexed once per worker, and every text is searched
 whole, in one pass without a shuffle. More than ``ITEMS`` items or ``ITEM_CHARS`` characters are searched in blocks.
@@ -36,11 +37,10 @@ DENSITY = 0.6
 Q_WIDE, Q_NARROW = 5, 16
 #: Edited places that a passage may have, per 100 of its characters and at least, and edited characters as a share.
 BLOCKS_PER_100, BLOCKS_LEAST, EDITED = 3.0, 4, 0.2
-#: Width of a band of diagonals; bands overlap by half.
+#: Least width of a band of diagonals; bands overlap by half, so a drift of half the width lies inside one.
 BAND = 192
-HALF = BAND // 2
-#: Keys of bands: diagonals are shifted to be positive, and a text and an item have so many bands at most.
-SHIFT, SPANS = HALF << 24, 1 << 32
+#: Keys of bands: their numbers are shifted to be positive, and a text and an item have so many bands at most.
+SHIFT, SPANS = 1 << 24, 1 << 32
 #: Items, and characters of items, searched in one pass.
 ITEMS, ITEM_CHARS = 5000, 4_000_000
 #: Texts searched at a time.
@@ -90,6 +90,7 @@ class Item:
     points: np.ndarray
     q: int
     needed: int
+    band: int
 
 
 def item_of(name: int, text: str) -> Item | None:
@@ -105,7 +106,11 @@ def item_of(name: int, text: str) -> Item | None:
     while q > 3 and passage - q + 1 - blocks * (q - 1) - EDITED * passage < 4:
         q -= 1
     needed = int(passage - q + 1 - blocks * (q - 1) - EDITED * passage)
-    return Item(name, codes(plain), q, max(2, needed))
+    # few widths, as items of one width are aligned together
+    band = BAND
+    while band < 2 * EDITED * passage:
+        band *= 2
+    return Item(name, codes(plain), q, max(2, needed), band)
 
 
 class Index:
@@ -116,6 +121,7 @@ class Index:
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
         self.items = [x for x in (item_of(*item) for item in items if item[1]) if x is not None]
         self.needed = np.fromiter((x.needed for x in self.items), np.int64)
+        self.halves = np.fromiter((x.band // 2 for x in self.items), np.int64)
         self.by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for q in sorted({x.q for x in self.items}):
             hashes, owners, places = [], [], []
@@ -132,7 +138,7 @@ class Index:
             self.by_q[q] = every[order], owner[order], place[order], table
 
     def candidates(self, points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(text, item, first diagonal)`` of the bands that reach the bound, of neighbouring ones the fullest.
+        """``(text, item, first diagonal)`` of the bands that reach the bound.
 
         ``points`` are all texts of a batch one after another, each followed by a 0, and ``starts`` where they begin;
         diagonals count from the start of their text.
@@ -149,15 +155,14 @@ class Index:
             here = np.repeat(at, count)
             entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)
             text = np.searchsorted(starts, here, side="right") - 1
-            low = (here - starts[text] - place[entry] + SHIFT) // HALF  # a diagonal lies in the bands low and low - 1
+            low = (here - starts[text] - place[entry]) // self.halves[owner[entry]] + SHIFT  # a diagonal lies in the bands low and low - 1
             keys = (text * len(self.items) + owner[entry]) * SPANS + low
             bands, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
             good = counts >= self.needed[bands // SPANS % len(self.items)]
-            before = np.concatenate([[0], np.where(bands[1:] - bands[:-1] == 1, counts[:-1], 0)])
-            after = np.concatenate([np.where(bands[1:] - bands[:-1] == 1, counts[1:], 0), [0]])
-            for key in bands[good & (counts > before) & (counts >= after)].tolist():
+            for key in bands[good].tolist():
                 pair, band = divmod(key, SPANS)
-                found.append((*divmod(pair, len(self.items)), band * HALF - SHIFT))
+                text_at, item = divmod(pair, len(self.items))
+                found.append((text_at, item, (band - SHIFT) * int(self.halves[item])))
         return found
 
 
@@ -165,13 +170,12 @@ class Index:
 MATCH, MISMATCH, GAP = 2, -3, -2
 
 
-def align(jobs: Sequence[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+def align(jobs: Sequence[tuple[np.ndarray, np.ndarray, int]], width: int = BAND) -> tuple[np.ndarray, np.ndarray]:
     """Of each job the best local alignment within its band: its matched characters, and its score.
 
-    A job is the item, the text and the first diagonal of the band. All jobs advance together, one item character a
+    A job is the item, the text and the first diagonal of its band of ``width``. All jobs advance together, one item character a
     step, as rows of matrices over the band: scores, and the matched characters on the best path to each cell.
     """
-    width = BAND
     longest = max(len(item) for item, _, _ in jobs)
     items = np.zeros((len(jobs), longest), np.uint32)
     texts = np.zeros((len(jobs), longest + width), np.uint32)
@@ -217,15 +221,18 @@ def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, fl
     plain = [codes(reduced(text) + "\0") if text else np.zeros(1, np.uint32) for text in texts]
     sizes = np.fromiter(map(len, plain), np.int64, len(plain))
     starts = np.cumsum(sizes) - sizes
-    jobs = sorted(index.candidates(np.concatenate(plain), starts), key=lambda x: len(index.items[x[1]].points))
+    jobs = index.candidates(np.concatenate(plain), starts)
     best: dict[tuple[int, int], tuple[bool, float, float]] = {}
-    for first in range(0, len(jobs), 64):
-        part = jobs[first : first + 64]
-        matched, scores = align([(index.items[item].points, plain[text], diagonal) for text, item, diagonal in part])
-        for (text, item, _), chars, score in zip(part, matched.tolist(), scores.tolist(), strict=True):
-            if chars:
-                share, density = chars / len(index.items[item].points), score / (MATCH * chars)
-                best[text, item] = max(best.get((text, item), (False, 0.0, 0.0)), (passes(share, density), share, density))
+    for width in sorted({index.items[item].band for _, item, _ in jobs}):
+        alike = sorted((x for x in jobs if index.items[x[1]].band == width), key=lambda x: len(index.items[x[1]].points))
+        at_once = max(1, 64 * BAND // width)
+        for first in range(0, len(alike), at_once):
+            part = alike[first : first + at_once]
+            matched, scores = align([(index.items[item].points, plain[text], diagonal) for text, item, diagonal in part], width)
+            for (text, item, _), chars, score in zip(part, matched.tolist(), scores.tolist(), strict=True):
+                if chars:
+                    share, density = chars / len(index.items[item].points), score / (MATCH * chars)
+                    best[text, item] = max(best.get((text, item), (False, 0.0, 0.0)), (passes(share, density), share, density))
     return [(text, index.items[item].name, share, density) for (text, item), (_, share, density) in best.items()]
 
 

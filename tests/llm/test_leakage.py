@@ -110,3 +110,21 @@ def test_a_dense_passage_counts_beside_a_longer_thin_one():
     assert share > 0.5 and density < leakage.DENSITY
     ((_, _, share, density),) = leakage.search(index, [thin + english(77) + dense])
     assert share > 0.4 and density > 0.9
+
+
+def test_long_items_with_labels_between_their_lines():
+    text = leakage.reduced(english(6, 800))
+    index = leakage.Index([(6, text)])
+    fill = english(77)
+    labelled = "".join(text[i : i + 60] + f"label{i:05d}" for i in range(0, len(text), 60))
+    for passage in (labelled, part(labelled, len(labelled) // 4, 0.45)):
+        ((_, name, share, density),) = leakage.search(index, [fill + passage + fill])
+        assert name == 6 and leakage.passes(share, density)
+
+
+def test_every_band_that_reaches_the_bound_is_aligned():
+    item = leakage.codes(leakage.reduced(english(1)))
+    index = leakage.Index([(1, english(1))])
+    text = np.concatenate([item, np.zeros(1, np.uint32)])
+    found = index.candidates(text, np.zeros(1, np.int64))
+    assert sorted(diagonal for *_, diagonal in found) == [-leakage.BAND // 2, 0]
