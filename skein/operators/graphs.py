@@ -7,12 +7,14 @@ computed per document in Arrow batches, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.plans import graph as graphs
 
@@ -93,23 +95,62 @@ def orders(flows: DataFrame, key: str = "id", text: str = "flow_data", tie_order
     return rows.mapInArrow(run, "key long, problem string, ordered array<string>").withColumnRenamed("key", key)
 
 
-def levels(edge_table: DataFrame, key: str, depth: int = 64) -> DataFrame:
-    """``key, node_id, level`` of acyclic graphs given as tables: the longest path from a node without incoming edges.
+def _longest(pairs: list[dict[str, str | None]]) -> Iterator[tuple[str | None, int | None]]:
+    """Each node of one graph with its longest path from a node without incoming edges, or None on and behind cycles.
 
-    A recursive query over the edges; ``depth`` bounds the recursion for graphs with cycles, whose nodes it leaves out
-    when no start reaches them.
+    A null end is a node that no edge leaves; nodes that only such ends lead to are left out.
     """
-    rows = edge_table.select(F.col(key).alias("g"), "source", "target").distinct()
-    found = edge_table.sparkSession.sql(
-        f"""
-        with recursive walk(g, node, level) as (
-          select distinct e.g, e.source, 0 from {{rows}} e left anti join {{rows}} b on b.g = e.g and b.target = e.source
-          union all
-          select e.g, e.target, w.level + 1 from walk w join {{rows}} e on e.g = w.g and e.source = w.node where w.level < {depth}
-        ) select g, node, max(level) as level from walk group by g, node""",
-        rows=rows,
-    )
-    return found.select(F.col("g").alias(key), F.col("node").alias("node_id"), "level")
+    after: defaultdict[str, list[str | None]] = defaultdict(list)
+    waits: Counter[str | None] = Counter()
+    for pair in pairs:
+        if pair["source"] is not None:
+            after[pair["source"]].append(pair["target"])
+            waits[pair["target"]] += 1
+    sources, targets = {x["source"] for x in pairs}, {x["target"] for x in pairs}
+    names = sources | targets
+    level = {x: 0 for x in sources if x is None or x not in targets}
+    ready = [x for x in names if not waits[x]]
+    done = set(ready)
+    while ready:
+        node = ready.pop()
+        for target in after[node] if node is not None else ():
+            if node in level:
+                level[target] = max(level.get(target, 0), level[node] + 1)
+            waits[target] -= 1
+            if not waits[target]:
+                ready.append(target)
+                done.add(target)
+    for node in names:
+        if node not in done:
+            yield node, None
+        elif node in level:
+            yield node, level[node]
+
+
+def _walked(edge_table: DataFrame, key: str) -> DataFrame:
+    """``key, node_id, level`` with a null level on and behind cycles; the edges of a graph are brought to one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, node, level) for row, pairs in enumerate(batch["pairs"].to_pylist()) for node, level in _longest(pairs)]
+            places, nodes, levels = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(places, pa.int64())), pa.array(nodes, pa.string()), pa.array(levels, pa.int32())], [key, "node_id", "level"])
+
+    rows = edge_table.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
+    return rows.mapInArrow(run, T.StructType([edge_table.schema[key], T.StructField("node_id", T.StringType()), T.StructField("level", T.IntegerType())]))
+
+
+def levels(edge_table: DataFrame, key: str) -> DataFrame:
+    """``key, node_id, level`` of graphs given as tables: the longest path from a node without incoming edges.
+
+    Paths may have any length; nodes on or behind a cycle have no longest path and are in ``cyclic``.
+    """
+    return _walked(edge_table, key).where("level is not null")
+
+
+def cyclic(edge_table: DataFrame, key: str) -> DataFrame:
+    """``key, node_id`` of the nodes on a cycle of their graph or reached from one."""
+    return _walked(edge_table, key).where("level is null").select(key, "node_id")
 
 
 def first_of(frame: DataFrame, keys: list[str], *order: Column) -> DataFrame:

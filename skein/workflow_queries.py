@@ -214,10 +214,20 @@ def w_unknown_ends(spark: SparkSession, folder: str) -> DataFrame:
   select w.id, e.target, w.level + 1 from walk w join e on e.id = w.id and e.source = w.node_id where w.level < 64
 ) select id, node_id, max(level) as level from walk group by id, node_id""")
 def w_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Longest path to each node, by a recursive query."""
+    """Longest path to each node that is not on or behind a cycle; the SQL stops at level 64."""
     return graphs.levels(_edges(spark, folder), "id")
 
 
+@query(_CURRENT.replace("with cur", "with recursive cur", 1) + """, reach as (
+  select distinct id, source as a, target as b from edges
+  union
+  select r.id, r.a, e.target from reach r join edges e on e.id = r.id and e.source = r.b
+) select distinct id, b as node_id from reach r where exists (select 1 from reach c where c.id = r.id and c.a = c.b and c.a = r.a)""")
+def w_cyclic_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes on or behind a cycle, which have no level."""
+    return graphs.cyclic(_edges(spark, folder), "id")
+
+
 @query()
 def w_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of each workflow in topological order, or why there is none."""

@@ -56,6 +56,22 @@ def test_levels_and_cycles(spark):
     assert graphs.levels(edges.limit(0), "id").count() == 0
 
 
+def test_levels_of_any_depth_and_cycles_apart(spark):
+    shape = "id long, position int, source string, target string"
+    chain = [(1, i, f"n{i}", f"n{i + 1}") for i in range(150)] + [(1, 200, "n0", "n149"), (1, 201, "n0", "n1")]
+    diamonds = [(2, i, f"{a}{i}", f"{b}{i + (a != 's')}") for i in range(40) for a, b in (("s", "x"), ("s", "y"), ("x", "s"), ("y", "s"))]
+    loops = [(3, 0, "a", "b"), (3, 1, "b", "c"), (3, 2, "c", "b"), (3, 3, "c", "d"), (3, 4, "a", "e"), (3, 5, "f", "f"), (3, 6, "e", "g")]
+    ends = [(4, 0, "a", None), (4, 1, None, "b"), (4, 2, "a", "c"), (4, 3, None, "c")]
+    edges = spark.createDataFrame(chain + diamonds + loops + ends, shape)
+    found = {(x.id, x.node_id): x.level for x in graphs.levels(edges, "id").collect()}
+    assert {k[1]: v for k, v in found.items() if k[0] == 1} == {f"n{i}": i for i in range(151)}
+    assert found[2, "s40"] == 80 and found[2, "x39"] == 79
+    assert {k[1]: v for k, v in found.items() if k[0] == 3} == {"a": 0, "e": 1, "g": 2}
+    assert {k[1]: v for k, v in found.items() if k[0] == 4} == {"a": 0, None: 1, "c": 1}
+    assert rows(graphs.cyclic(edges, "id")) == [(3, "b"), (3, "c"), (3, "d"), (3, "f")]
+    assert graphs.cyclic(edges.limit(0), "id").count() == 0
+
+
 def test_streams(spark, tmp_path):
     shape = "ts timestamp, k string, v long"
     start = dt.datetime(2025, 1, 1)
