@@ -35,17 +35,24 @@ _encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
 
 def walk(node: dict[str, Any], prefix: str, into: dict[str, list[Any]]) -> None:
     """Append every non-null value below ``node`` to the list of its path: names joined by ``.``, ``[]`` after arrays of objects."""
-    for key, value in node.items():
-        if value is None:
-            continue
-        path = f"{prefix}.{key}" if prefix else key
-        into.setdefault(path, []).append(value)
-        if type(value) is dict:
-            walk(value, path, into)
-        elif type(value) is list:
-            for item in value:
-                if type(item) is dict:
-                    walk(item, f"{path}[]", into)
+    open_: list[tuple[str, Iterator[tuple[str, Any]]]] = [(prefix, iter(node.items()))]
+    while open_:
+        above, items = open_[-1]
+        for key, value in items:
+            if value is None:
+                continue
+            path = f"{above}.{key}" if above else key
+            into.setdefault(path, []).append(value)
+            if type(value) is dict:
+                open_.append((path, iter(value.items())))
+                break
+            if type(value) is list:
+                inner = [(f"{path}[]", iter(item.items())) for item in reversed(value) if type(item) is dict]
+                if inner:
+                    open_ += inner
+                    break
+        else:
+            open_.pop()
 
 
 def _fields(text: str | None) -> dict[str, list[Any]]:

@@ -32,35 +32,37 @@ _encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
 
 def shred(document: Any, single_is_array: bool = False) -> tuple[list[tuple[str, str, int, str, str]], list[tuple[str, str]]]:
     """Occurrences ``(path, parent_path, ordinal, child_key, object_id)`` of array elements, and ``(object_id, body)`` of all objects."""
-    rows: list[tuple[str, str, int, str, str]] = []
+    if single_is_array and type(document) is dict:
+        document = [document]
+    if type(document) is not dict and type(document) is not list:
+        return [], []
+    places: list[tuple[str, str, int, str, dict[str, Any]]] = []
+    held: list[tuple[Any, str, str]] = [(document, "", "")]
+    for value, path, parent in held:  # grows while it is read: what a container holds comes after it, at any depth
+        start = f"{path}/" if path else ""
+        if type(value) is dict:
+            for key, item in value.items():
+                if type(item) is dict or type(item) is list:
+                    held.append((item, start + key, parent))
+            continue
+        for place, item in enumerate(value):
+            if type(item) is dict:
+                inner = f"{start}{place}"
+                places.append((inner, parent, place, next((item[key] for key in NAMING if type(item.get(key)) is str), ""), item))
+                held.append((item, inner, inner))
+            elif type(item) is list:
+                held.append((item, f"{start}{place}", parent))
     bodies: list[tuple[str, str]] = []
-
-    def identity(value: Any, path: str, parent: str) -> Any:
+    known: dict[int, Any] = {}
+    for value, _, _ in reversed(held):
         if type(value) is dict:
-            flat = {key: item if type(item) is not dict and type(item) is not list else identity(item, f"{path}/{key}" if path else key, parent) for key, item in value.items()}
-            body = _encode(flat)
+            body = _encode({key: item if type(item) is not dict and type(item) is not list else known[id(item)] for key, item in value.items()})
             name = blake2b(body.encode(), digest_size=16).hexdigest()
             bodies.append((name, body))
-            return {"#": name}
-        out = []
-        for place, item in enumerate(value):
-            kind = type(item)
-            if kind is dict or kind is list:
-                inner = f"{path}/{place}" if path else str(place)
-                found = identity(item, inner, inner if kind is dict else parent)
-                if kind is dict:
-                    label = next((item[key] for key in NAMING if type(item.get(key)) is str), "")
-                    rows.append((inner, parent, place, label, found["#"]))
-                out.append(found)
-            else:
-                out.append(item)
-        return out
-
-    if single_is_array and type(document) is dict:
-        document = [document]
-    if type(document) is dict or type(document) is list:
-        identity(document, "", "")
-    return rows, bodies
+            known[id(value)] = {"#": name}
+        else:
+            known[id(value)] = [item if type(item) is not dict and type(item) is not list else known[id(item)] for item in value]
+    return [(path, parent, place, label, known[id(item)]["#"]) for path, parent, place, label, item in places], bodies
 
 
 def _documents(frame: DataFrame, root_id: str, text: str, export_file: str | None) -> DataFrame:

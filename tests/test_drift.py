@@ -73,3 +73,8 @@ def test_each_type_has_its_own_lifespan(spark):
     spans = rows(type_catalogue(inventory(frame, "file", "body"), file_ranks(frame, "file")).select("path", "type", "island", "first_file", "last_file", "files"))
     assert spans == [("t", "number", 1, "f1", "f2", 2), ("t", "number", 2, "f4", "f4", 1), ("t", "string", 1, "f2", "f3", 2)]
     assert type_catalogue(inventory(frame.limit(0), "file", "body"), file_ranks(frame.limit(0), "file")).count() == 0
+
+
+def test_fields_of_deep_documents(spark):
+    frame = table(spark, (1, '{"a":' * 3000 + "1" + "}" * 3000, "f1"), (1, '{"a":[' * 1500 + '{"b":1}' + "]}" * 1500, "f2"))
+    assert inventory(frame, "file", "body").groupBy("file").count().orderBy("file").collect() == [("f1", 3000), ("f2", 1501)]

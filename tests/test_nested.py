@@ -77,3 +77,12 @@ def test_store_and_bridge_hold_both_tables(spark, tmp_path):
     assert bridge["execution_record", 7, "0/attempts/1"] == (1, {"tool": "t"}, 1)
     assert bridge["workflow", 1, "nodes/0"] == bridge["execution_record", 8, "0"] and bridge["workflow", 1, "nodes/0"][2] == 3
     assert ({"k": 1}, 3) in store.values()
+
+
+def test_documents_as_deep_as_the_decoder_takes(spark):
+    deep = '[{"a":' * 2000 + "1" + "}]" * 2000
+    found, bodies = shred(decode(deep))
+    assert len(found) == len(bodies) == 2000 and max(path.count("/") for path, *_ in found) == 2 * 1999
+    assert len(shred(decode('{"a":' + "[" * 9000 + "{}" + "]" * 9000 + "}"))[1]) == 2
+    frame = spark.createDataFrame([(1, deep), (2, "[{}]")], "id long, body string")
+    assert occurrences(frame, "t", "id", "body").count() == 2001 and objects(frame, "id", "body").count() == 2001
