@@ -2,7 +2,7 @@
 
 A value is mapped to an unsigned 64-bit integer of the same order: the bits of the double, with the sign bit flipped for
 positive and all bits for negative numbers. Selection histograms the leading digit per group, finds the digit that holds
-each target rank by running sums, and follows only that digit to the next one.
+each target rank by running sums, and follows only that digit to the next one; the last digit is all the bits left.
 
 Histograms of leading bits are sums, so those of partitions or days add up to the one of all, and a percentile read from
 the sum has the same bound as one read from a single pass: with ``bits`` leading bits the value lies in the bucket that
@@ -17,15 +17,16 @@ without values gives no row; an empty table gives none.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.session import checkpointed
-
-#: Bits of a digit: at most 2**16 digits stand in one group of one pass, however many rows the group has.
-DIGIT = 16
+#: Bits of the leading digit: sign, exponent and 12 bits of the fraction, so a group has at most 4,096 digits for values between two powers of two.
+LEAD = 24
+#: Different values below one leading digit that one task tells apart.
+AT_ONCE = 4_000_000
 #: Leading bits of the daily histograms: sign, exponent and 7 bits of the fraction, a bound of 2**-7 of the value.
 SKETCH_BITS = 19
 
@@ -77,9 +78,21 @@ def _name(share: float) -> str:
     return "p" + f"{share * 100:g}".replace(".", "_")
 
 
+def _rank(share: float) -> F.Column:
+    """The 1-based rank ceil(share * n) among ``n`` values, at least 1.
+
+    The share counts as the decimal fraction that it is written as, and the product is one of whole numbers, so the rank
+    is exact for any n.
+    """
+    p, q = Fraction(str(share)).as_integer_ratio()
+    # n is taken apart by q, so the products stay as small as n and q * q; shares of more than nine digits need decimals
+    exact = f"(n div {q}L) * {p}L + ((n % {q}L) * {p}L + {q - 1}L) div {q}L" if q <= 10**9 else f"cast((cast(n as decimal(19, 0)) * {p}BD + {q - 1}BD) div {q}BD as long)"
+    return F.greatest(F.lit(1).cast("long"), F.expr(exact))
+
+
 def _ranks(shares: Sequence[float]) -> F.Column:
-    """Per target its index and 1-based rank among ``n`` values; the tiny shift keeps products such as 0.9 * 10 whole."""
-    return F.array(*(F.struct(F.lit(i).alias("target"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("long")).alias("rank")) for i, share in enumerate(shares)))
+    """Per target its index and rank."""
+    return F.array(*(F.struct(F.lit(i).alias("target"), _rank(share).alias("rank")) for i, share in enumerate(shares)))
 
 
 def percentiles_of(histograms: DataFrame, groups: Sequence[str], shares: Sequence[float] = (0.5, 0.9, 0.99), bits: int = SKETCH_BITS) -> DataFrame:
@@ -101,37 +114,55 @@ def percentiles_of(histograms: DataFrame, groups: Sequence[str], shares: Sequenc
     return hit.groupBy(*groups, "n").agg(*out)
 
 
-def radix_select(frame: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+def _within(frame: DataFrame, keys: Sequence[str], by: str, ranks: Sequence[str]) -> DataFrame:
+    """The rows of a histogram that hold a rank; their ranks count from the row's first value, those of other rows are null."""
+    upto = F.sum("records").over(W.partitionBy(*keys).orderBy(by))
+    run = frame.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("records"))
+    held = [F.when((F.col(x) > F.col("below")) & (F.col(x) <= F.col("upto")), F.col(x) - F.col("below")).alias(x) for x in ranks]
+    return run.select(*(x for x in frame.columns if x not in (*ranks, "records")), *held).where(F.coalesce(*ranks).isNotNull())
+
+
+def _follow(counted: DataFrame, hits: DataFrame, digit: str) -> DataFrame:
+    """The counted values below the digits that hold a rank, with what ``hits`` has beside the digits."""
+    rest = [x for x in hits.columns if x not in ("group", digit)]
+    wanted = hits.select(F.col("group").alias("group_"), F.col(digit).alias("digit_"), *rest)
+    return counted.join(wanted, (F.col("group") == F.col("group_")) & (F.col(digit) == F.col("digit_"))).select(*counted.columns, *rest)
+
+
+def radix_select(frame: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float] = (0.5, 0.9, 0.99), unique: Sequence[str] = (), at_once: int = AT_ONCE) -> DataFrame:
     """Exact percentiles per group: ``*groups, n`` and one column per share.
 
-    Rows are first counted per group and value, with partial counts before the shuffle, and these counts are
-    checkpointed. Each of the four passes histograms one 16-bit digit, picks per target the digit that its rank falls
-    in, and keeps only the values below the picked prefixes for the next pass. A hot group is spread over its prefixes;
-    the prefixes picked are few, groups times shares.
+    Values are counted per group before they are placed, so a value that a third of all rows hold costs a row per task.
+    With ``unique`` rows that agree in these columns, the groups and the value count once; they are brought together
+    in salts, and the counting needs no exchange of its own. Then each value lies where its group and its leading digit
+    put it: a hot group is spread over its digits. The histogram of leading digits, the only thing that a group's ranks
+    need as a whole, gives the digit of each target, and only the values below it are followed. They lie together by
+    then, so the remaining digits are told apart in place, without a further exchange. Digits with more than ``at_once``
+    different values are first divided by a second digit.
     """
     number = F.col(value).cast("double")
-    keys = [F.col(x).alias(f"__g{i}") for i, x in enumerate(groups)]
-    names = [f"__g{i}" for i in range(len(groups))]
-    counted = frame.where(number.isNotNull() & ~F.isnan(number)).select(*keys, ordered_bits(number).alias("bits")).groupBy(*names, "bits").agg(F.count(F.lit(1)).alias("records"))
-    left = checkpointed(counted)
-    follow: DataFrame | None = None
-    for level in range(64 // DIGIT):
-        digit = F.shiftright(F.col("bits"), 64 - DIGIT * (level + 1)).alias("prefix")
-        if follow is None:
-            digits = left.groupBy(*names, digit).agg(F.sum("records").alias("records"))
-            digits = digits.withColumn("n", F.sum("records").over(W.partitionBy(*names))).withColumn("ranks", _ranks(shares))
-            within = names
-        else:
-            wanted = follow.groupBy(*names, "prefix").agg(F.first("n").alias("n"), F.collect_list(F.struct("target", "rank")).alias("ranks"))
-            wanted = wanted.select(*(F.col(x).alias(f"{x}f") for x in names), F.col("prefix").alias("before"), "n", "ranks")
-            same = [*(F.col(x).eqNullSafe(F.col(f"{x}f")) for x in names), F.shiftright(F.col("bits"), 64 - DIGIT * level) == F.col("before")]
-            left = checkpointed(left.select(*names, "bits", "records").join(wanted, same).select(*names, "bits", "records", "before", "n", "ranks"))
-            digits = left.groupBy(*names, "before", digit).agg(F.sum("records").alias("records"), F.first("n").alias("n"), F.first("ranks").alias("ranks"))
-            within = [*names, "before"]
-        digits = digits.withColumn("upto", F.sum("records").over(W.partitionBy(*within).orderBy("prefix")))
-        inside = F.filter("ranks", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("records")))
-        hit = digits.select(*names, "n", "prefix", (F.col("upto") - F.col("records")).alias("below"), F.explode(inside).alias("hit"))
-        follow = hit.select(*names, "n", "prefix", "hit.target", (F.col("hit.rank") - F.col("below")).alias("rank"))
-    exact = [F.max(F.when(F.col("target") == i, value_of(F.col("prefix")))).alias(_name(share)) for i, share in enumerate(shares)]
-    result = follow.groupBy(*names, "n").agg(*exact)
-    return result.select(*(F.col(x).alias(y) for x, y in zip(names, groups, strict=True)), "n", *(_name(x) for x in shares))
+    group = F.struct(*(F.col(x).alias(f"g{i}") for i, x in enumerate(groups))).alias("group")  # never null, also where its parts are
+    rows = frame.where(number.isNotNull() & ~F.isnan(number)).select(group, *(F.col(x).alias(f"u{i}") for i, x in enumerate(unique)), number.alias("number"))
+    salt: list[str] = []
+    if unique:
+        salts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"u{i}" for i in range(len(unique)))), F.lit(salts))).repartition("salt").distinct()
+        salt = ["salt"]
+    parts = rows.groupBy(*salt, "group", "number").agg(F.count(F.lit(1)).alias("records"))
+    # never null, so that no test for null tells one use of the counts from another and Spark keeps a single exchange
+    bits = parts.select("group", F.coalesce(ordered_bits(F.col("number")), F.lit(0)).alias("bits"), "records")
+    lead = F.shiftright("bits", 64 - LEAD).alias("lead")
+    counted = bits.select("group", lead, "bits", "records").repartition("group", "lead").groupBy("group", "lead", "bits").agg(F.sum("records").alias("records"))
+    ranks = [f"rank{i}" for i in range(len(shares))]
+    digits = counted.groupBy("group", "lead").agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("different"))
+    digits = digits.withColumn("n", F.sum("records").over(W.partitionBy("group"))).select("*", *(_rank(share).alias(x) for x, share in zip(ranks, shares, strict=True)))
+    hits = _within(digits, ["group"], "lead", ranks)
+    found = _within(_follow(counted, hits.where(F.col("different") <= at_once), "lead"), ["group", "lead"], "bits", ranks).select("group", "n", "bits", *ranks)
+    # digits with too many different values for one task: a second digit divides them before they are followed
+    wide = _follow(counted, hits.where(F.col("different") > at_once), "lead").withColumn("next", F.shiftright("bits", 64 - 2 * LEAD))
+    nexts = wide.groupBy("group", "lead", "next", "n", *ranks).agg(F.sum("records").alias("records"))
+    second = _within(nexts, ["group", "lead"], "next", ranks).select("group", "next", "n", *ranks)
+    found = found.unionByName(_within(_follow(wide.select("group", "next", "bits", "records"), second, "next"), ["group", "next"], "bits", ranks).select("group", "n", "bits", *ranks))
+    exact = [F.max(F.when(F.col(x).isNotNull(), value_of(F.col("bits")))).alias(_name(share)) for x, share in zip(ranks, shares, strict=True)]
+    result = found.groupBy("group", "n").agg(*exact)
+    return result.select(*(F.col("group")[f"g{i}"].alias(x) for i, x in enumerate(groups)), "n", *(_name(x) for x in shares))

@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+from fractions import Fraction
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,10 +42,27 @@ def test_selection_is_exact(spark):
         mine = [v for g, v in data if g == row.g and v is not None and v == v]
         assert row.n == len(mine)
         assert [row[f"p{round(s * 100)}"] for s in SHARES] == [nearest(mine, s) for s in SHARES]
+    exact = P.radix_select(frame, ["g"], "v", SHARES)
+    divided = P.radix_select(frame, ["g"], "v", SHARES, at_once=3)  # nearly every digit is divided by a second one
+    assert sorted(map(tuple, divided.collect()), key=repr) == sorted(map(tuple, exact.collect()), key=repr)
     assert P.radix_select(frame.limit(0), ["g"], "v").count() == 0
     assert {x.g for x in P.radix_select(frame, ["g"], "v").collect()} == {"a", "b", None, "hot", "one"}
 
 
+def test_repeated_rows_count_once_where_rows_have_names(spark):
+    data = [(n, n % 3, "x", float(n % 50)) for n in range(600)] * 2 + [(None, 0, None, 3.0), (None, 0, None, 3.0)]
+    frame = spark.createDataFrame(data, "id long, g int, h string, v double")
+    found = {(x.g, x.h): (x.n, x.p50) for x in P.radix_select(frame, ["g", "h"], "v", unique=["id"]).collect()}
+    assert found == {(0, "x"): (200, 24.0), (1, "x"): (200, 24.0), (2, "x"): (200, 24.0), (0, None): (1, 3.0)}
+
+
+def test_ranks_are_exact_for_any_number_of_values(spark):
+    shares = (1 / 3, 0.07, 0.55, 0.5, 0.9, 0.99, 0.999, 0.1, 0.0, 1.0)
+    sizes = [1, 10, 61_008_040, 479_349_000, 10**12 + 1, 2**53 + 1, 10**17 + 3]
+    for row in spark.createDataFrame([(x,) for x in sizes], "n long").select("n", P._ranks(shares).alias("ranks")).collect():
+        assert [x["rank"] for x in row.ranks] == [max(1, -(-row.n * Fraction(str(x)).numerator // Fraction(str(x)).denominator)) for x in shares]
+
+
 def test_combined_days_keep_the_bound(spark):
     random.seed(7)
     data = [(d, g, random.lognormvariate(3, 2) * random.choice([1, 1, -1])) for d in range(9) for g in "xy" for _ in range(random.randint(0, 400))]
