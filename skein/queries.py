@@ -19,19 +19,19 @@ KEYS = (
 )
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _orphans(spark: SparkSession, folder: str, inherited: bool) -> DataFrame:
     tables = {name: table(spark, folder, name) for name in ("execution_record", "workflow", "app_user")}
-    return references.orphan_cascade(tables, KEYS)
+    return references.orphan_cascade(tables, KEYS, inherited)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Direct orphans: ``ref, id, reason, period``."""
-    return _orphans(spark, folder).where("kind = 'direct'").select("ref", "id", "reason", "period")
+    return _orphans(spark, folder, inherited=False).select("ref", "id", "reason", "period")
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     """Direct and inherited orphans counted per reference, period and reason."""
-    return references.orphan_report(_orphans(spark, folder))
+    return references.orphan_report(_orphans(spark, folder, inherited=True))
 
 
 def p3_bridge(spark: SparkSession, folder: str) -> DataFrame:

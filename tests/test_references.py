@@ -51,8 +51,20 @@ def test_cyclic_references_reach_a_fixpoint(spark):
 
 
 def test_hot_keys_are_spread_and_lose_nothing(spark):
-    left = spark.createDataFrame([(n, 7 if n % 3 else n) for n in range(3000)] + [(5000, None)], "n long, k long")
-    right = spark.createDataFrame([(7, "hot"), (3, "cold")], "r long, v string")
-    assert hot_keys(left, "k") == [7]
+    left = spark.createDataFrame([(n, "k7" if n % 3 else f"k{n}") for n in range(3000)] + [(5000, None)], "n long, k string")
+    right = spark.createDataFrame([("k7", "hot"), ("k3", "cold")], "r string, v string")
+    hot = hot_keys({"left": (left, "k"), "right": (right, "r"), "none": (left.limit(0), "k")}, tasks=1000)
+    assert hot["left"] == [('{"key":"k7"}', 667)] and len(hot["right"]) == 2 and hot["none"] == []
     plain = left.join(right, left.k == right.r, "left")
-    assert rows(salted_join(left, right, "k", "r", "n")) == rows(plain)
+    assert rows(salted_join(left, right, "k", "r", "n", hot["left"])) == rows(plain)
+    assert rows(salted_join(left, right, "k", "r", "n", [])) == rows(plain)
+
+
+def test_a_key_of_a_little_more_than_one_task_is_split(spark):
+    left = spark.createDataFrame([(n, n // 20) for n in range(2000)] + [(n, 7) for n in range(2000, 2010)], "n long, k long")
+    assert hot_keys({"x": (left, "k")}, tasks=80)["x"] == [('{"key":7}', 2)]
+
+
+def test_months(spark):
+    children = [(1, 9, dt.datetime(2025, 12, 31, 23, 59), None, None, None), (2, 9, dt.datetime(1, 1, 1), None, None, None), (3, 9, dt.datetime(9999, 12, 31), None, None, None)]
+    assert [x[2] for x in found(spark, children, [])] == ["2025-12", "0001-01", "9999-12"]
