@@ -145,7 +145,7 @@ def radix_select(frame: DataFrame, groups: Sequence[str], value: str, shares: Se
     rows = frame.where(number.isNotNull() & ~F.isnan(number)).select(group, *(F.col(x).alias(f"u{i}") for i, x in enumerate(unique)), number.alias("number"))
     salt: list[str] = []
     if unique:
-        salts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # more than tasks, so that tasks are alike
         rows = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"u{i}" for i in range(len(unique)))), F.lit(salts))).repartition("salt").distinct()
         salt = ["salt"]
     parts = rows.groupBy(*salt, "group", "number").agg(F.count(F.lit(1)).alias("records"))
