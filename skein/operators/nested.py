@@ -2,53 +2,83 @@
 
 Every object gets a Merkle identity: objects are canonicalised bottom-up (keys sorted, nested objects replaced by their
 own identities) and hashed, so equal objects anywhere share one identity and need storing once, while each occurrence
-stays a row of the bridge with its place, its ordinal and the place of the object that holds it.
+stays a row of the bridge with its place, its ordinal and the place of the object that holds it. The bridge has the
+documents themselves, the objects in arrays and those in fields, told apart by ``role``; together with the store it gives
+the documents again (``rebuilt``) and every value in them (``values``).
 
 Defined results: null, blank, cut off or otherwise incomplete texts give no rows; array elements that are not objects
-give none but count as positions; identical rows give their occurrences once; a key that occurs twice in an object has
-its last value; lone surrogates from JSON escapes become U+FFFD; null ids are left out, a null file name is ''.
+give no row of the bridge but count as positions, and stand in the body of what holds them; a document that is an array
+is stored like an object; identical rows give their occurrences once; a key that occurs twice in an object has its last
+value; numbers are stored as Python writes them (0.70 as 0.7); lone surrogates from JSON escapes become U+FFFD in paths
+and labels; null ids are left out, a null file name is ''.
 """
 
 from __future__ import annotations
 
 import json
+from base64 import b64encode
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import sha256
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.jsontree import BROKEN, clean, decode
+from skein.operators.skew import hot_keys, salted_join
+from skein.session import checkpointed
 
 #: Fields that name an object, in the order in which they are tried.
 NAMING = ("id", "name", "nodeId")
 #: Rows of an Arrow batch sent back to the JVM.
 BATCH = 20_000
+#: What an occurrence is: the whole document, an array element or the value of a field.
+ROOT, ELEMENT, FIELD = "root", "element", "field"
+#: Columns that name a document.
+DOCUMENT = ("root_table", "root_id", "export_file")
 
 _encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
 
+Occurrence = tuple[str, str, int, str, str, str]
 
-def shred(document: Any, single_is_array: bool = False) -> tuple[list[tuple[str, str, int, str, str]], list[tuple[str, str]]]:
-    """Occurrences ``(path, parent_path, ordinal, child_key, object_id)`` of array elements, and ``(object_id, body)`` of all objects."""
+
+def identity(body: str) -> str:
+    """128 bits of the hash of a body, in 22 letters."""
+    return b64encode(sha256(body.encode()).digest()[:16])[:22].decode()
+
+
+def identity_of(body: Column) -> Column:
+    """``identity`` as an expression."""
+    return F.substring(F.base64(F.unhex(F.substring(F.sha2(body, 256), 1, 32))), 1, 22)
+
+
+def shred(document: Any, single_is_array: bool = False, every: bool = True) -> tuple[list[Occurrence], list[tuple[str, str]]]:
+    """Occurrences ``(path, parent_path, ordinal, child_key, object_id, role)``, and ``(object_id, body)`` of all objects.
+
+    Without ``every`` only the occurrences of array elements are given.
+    """
     if single_is_array and type(document) is dict:
         document = [document]
     if type(document) is not dict and type(document) is not list:
         return [], []
-    places: list[tuple[str, str, int, str, dict[str, Any]]] = []
+    places: list[tuple[str, str, int, str, Any, str]] = [("", "", -1, "", document, ROOT)] if every else []
     held: list[tuple[Any, str, str]] = [(document, "", "")]
     for value, path, parent in held:  # grows while it is read: what a container holds comes after it, at any depth
         start = f"{path}/" if path else ""
         if type(value) is dict:
             for key, item in value.items():
-                if type(item) is dict or type(item) is list:
+                if type(item) is dict:
+                    held.append((item, start + key, parent))
+                    if every:
+                        places.append((start + key, parent, -1, next((item[x] for x in NAMING if type(item.get(x)) is str), ""), item, FIELD))
+                elif type(item) is list:
                     held.append((item, start + key, parent))
             continue
         for place, item in enumerate(value):
             if type(item) is dict:
                 inner = f"{start}{place}"
-                places.append((inner, parent, place, next((item[key] for key in NAMING if type(item.get(key)) is str), ""), item))
+                places.append((inner, parent, place, next((item[key] for key in NAMING if type(item.get(key)) is str), ""), item, ELEMENT))
                 held.append((item, inner, inner))
             elif type(item) is list:
                 held.append((item, f"{start}{place}", parent))
@@ -57,12 +87,16 @@ def shred(document: Any, single_is_array: bool = False) -> tuple[list[tuple[str,
     for value, _, _ in reversed(held):
         if type(value) is dict:
             body = _encode({key: item if type(item) is not dict and type(item) is not list else known[id(item)] for key, item in value.items()})
-            name = blake2b(body.encode(), digest_size=16).hexdigest()
+            name = identity(body)
             bodies.append((name, body))
             known[id(value)] = {"#": name}
         else:
             known[id(value)] = [item if type(item) is not dict and type(item) is not list else known[id(item)] for item in value]
-    return [(path, parent, place, label, known[id(item)]["#"]) for path, parent, place, label, item in places], bodies
+    if type(document) is list:
+        body = _encode(known[id(document)])
+        bodies.append((identity(body), body))
+        known[id(document)] = {"#": bodies[-1][0]}
+    return [(path, parent, place, label, known[id(item)]["#"], role) for path, parent, place, label, item, role in places], bodies
 
 
 def _documents(frame: DataFrame, root_id: str, text: str, export_file: str | None) -> DataFrame:
@@ -71,28 +105,29 @@ def _documents(frame: DataFrame, root_id: str, text: str, export_file: str | Non
     return kept.where(F.col("root_id").isNotNull() & F.col("text").isNotNull()).distinct()
 
 
-def occurrences(frame: DataFrame, root_table: str, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
-    """The bridge: one row for every object that is an element of an array, at any depth.
+def occurrences(frame: DataFrame, root_table: str, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False, every: bool = True) -> DataFrame:
+    """The bridge: one row for every document, every object that is an element of an array and every one in a field, at any depth.
 
-    Columns ``root_table, root_id, export_file, path, parent_path, ordinal, child_key, object_id``; ``parent_path`` is
-    the nearest enclosing array element, '' if none. Source rows are made distinct before they are decoded, so no
-    expanded row is shuffled.
+    Columns ``root_table, root_id, export_file, path, parent_path, ordinal, child_key, object_id, role``; ``parent_path``
+    is the nearest enclosing array element, '' if none; ``ordinal`` is the place in an array, -1 elsewhere. Without
+    ``every`` there are only elements of arrays. Source rows are made distinct before they are decoded, so no expanded
+    row is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[Any]] = [[] for _ in range(7)]
-            ids, files, paths, parents, places, labels, names = columns
+            columns: list[list[Any]] = [[] for _ in range(8)]
+            ids, files, *parts = columns
             for key, name, body in zip(batch["root_id"].to_pylist(), batch["export_file"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 document = decode(body)
                 if document is BROKEN:
                     continue
-                rows, _ = shred(document, single_is_array)
+                rows, _ = shred(document, single_is_array, every)
                 if not rows:
                     continue
                 ids += [key] * len(rows)
                 files += [name] * len(rows)
-                for part, values in zip((paths, parents, places, labels, names), zip(*rows, strict=True), strict=True):
+                for part, values in zip(parts, zip(*rows, strict=True), strict=True):
                     part += values
                 if len(ids) >= BATCH:
                     yield _bridge(columns)
@@ -101,7 +136,7 @@ def occurrences(frame: DataFrame, root_table: str, root_id: str, text: str, expo
             if ids:
                 yield _bridge(columns)
 
-    schema = "root_id long, export_file string, path string, parent_path string, ordinal int, child_key string, object_id string"
+    schema = "root_id long, export_file string, path string, parent_path string, ordinal int, child_key string, object_id string, role string"
     return _documents(frame, root_id, text, export_file).mapInArrow(run, schema).select(F.lit(root_table).alias("root_table"), "*")
 
 
@@ -113,38 +148,111 @@ def _strings(values: list[str]) -> pa.Array:
 
 
 def _bridge(columns: list[list[Any]]) -> pa.RecordBatch:
-    ids, files, paths, parents, places, labels, names = columns
-    arrays = [pa.array(ids, pa.int64()), _strings(files), _strings(paths), _strings(parents), pa.array(places, pa.int32()), _strings(labels), _strings(names)]
-    return pa.RecordBatch.from_arrays(arrays, ["root_id", "export_file", "path", "parent_path", "ordinal", "child_key", "object_id"])
+    ids, files, paths, parents, places, labels, names, roles = columns
+    arrays = [pa.array(ids, pa.int64()), _strings(files), _strings(paths), _strings(parents), pa.array(places, pa.int32()), _strings(labels), pa.array(names, pa.string()), pa.array(roles, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["root_id", "export_file", "path", "parent_path", "ordinal", "child_key", "object_id", "role"])
 
 
 def counts(frame: DataFrame, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
-    """``object_id, body, occurrences`` with equal objects combined within each Arrow batch only; ``store`` brings them together."""
+    """``body, occurrences`` with equal objects combined within each Arrow batch only; ``store`` brings them together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str, str], int] = {}
+            held: dict[str, int] = {}
             for body in batch["text"].to_pylist():
                 document = decode(body)
                 if document is not BROKEN:
-                    for item in shred(document, single_is_array)[1]:
+                    for _, item in shred(document, single_is_array, every=False)[1]:
                         held[item] = held.get(item, 0) + 1
             if held:
-                names, bodies = zip(*held, strict=True)
-                yield pa.RecordBatch.from_arrays([_strings(list(names)), _strings(list(bodies)), pa.array(held.values(), pa.int64())], ["object_id", "body", "occurrences"])
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], ["body", "occurrences"])
 
-    return _documents(frame, root_id, text, export_file).mapInArrow(run, "object_id string, body string, occurrences long")
+    return _documents(frame, root_id, text, export_file).mapInArrow(run, "body string, occurrences long")
 
 
 def store(found: DataFrame) -> DataFrame:
-    """Every distinct object once, from the ``counts`` of one source or the union of several."""
-    return found.groupBy("object_id", "body").agg(F.sum("occurrences").alias("occurrences"))
+    """Every distinct object once, from the ``counts`` of one source or the union of several.
+
+    Only bodies and counts are shuffled; the identity follows from the body.
+    """
+    return found.groupBy("body").agg(F.sum("occurrences").alias("occurrences")).select(identity_of(F.col("body")).alias("object_id"), "body", "occurrences")
 
 
 def objects(frame: DataFrame, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
     """The store: every distinct object once, as ``object_id, body, occurrences``; nested objects in a body are ``{"#": object_id}``.
 
     Equal objects are combined within each Arrow batch and again before the shuffle, so an object that stands in a third
-    of all rows costs a row per batch.
+    of all rows costs a row per batch. Documents that are arrays are in the store too.
     """
     return store(counts(frame, root_id, text, export_file, single_is_array))
+
+
+def _with_bodies(bridge: DataFrame, stored: DataFrame) -> DataFrame:
+    """The bridge with the body of each occurrence. The bridge is checkpointed, as its hot objects are measured before they are split."""
+    held = checkpointed(bridge)
+    hot = hot_keys({"bridge": (held, "object_id")})["bridge"]
+    return salted_join(held, stored.select(F.col("object_id").alias("__object"), "body"), "object_id", "__object", "root_id", hot, how="inner")
+
+
+def _scalars(body: str, path: str) -> Iterator[tuple[str, str, str]]:
+    """``(path, type, value)`` of every scalar of one body; nested objects have bodies of their own."""
+    start = f"{path}/" if path else ""
+    document = json.loads(body)
+    open_ = [(f"{start}{key}", item) for key, item in (document.items() if type(document) is dict else enumerate(document))]
+    for place, value in open_:  # grows while it is read
+        if type(value) is list:
+            open_ += [(f"{place}/{number}", item) for number, item in enumerate(value)]
+        elif type(value) is str:
+            yield place, "string", value
+        elif value is None:
+            yield place, "null", ""
+        elif type(value) is not dict:
+            yield place, "boolean" if type(value) is bool else "number", _encode(value)
+
+
+def values(bridge: DataFrame, stored: DataFrame) -> DataFrame:
+    """Every scalar of every document, from bridge and store alone: ``root_table, root_id, export_file, path, type, value``; null has the value ''."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for row, (path, body) in enumerate(zip(batch["path"].to_pylist(), batch["body"].to_pylist(), strict=True)):
+                found = list(_scalars(body, path))
+                rows += [row] * len(found)
+                out += found
+            paths, types, texts = zip(*out, strict=True) if out else ((), (), ())
+            places = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch[x].take(places) for x in DOCUMENT), _strings(list(paths)), pa.array(types, pa.string()), _strings(list(texts))], [*DOCUMENT, "path", "type", "value"])
+
+    rows = _with_bodies(bridge, stored).select(*DOCUMENT, "path", "body")
+    return rows.mapInArrow(run, "root_table string, root_id long, export_file string, path string, type string, value string")
+
+
+def _assembled(root: str, bodies: dict[str, str]) -> str:
+    """The document with this identity, with references replaced by what they name, at any depth."""
+    top: list[Any] = [{"#": root}]
+    open_: list[Any] = [top]
+    while open_:
+        value = open_.pop()
+        for key, item in list(value.items() if type(value) is dict else enumerate(value)):
+            if type(item) is dict:  # in a body every object is a reference
+                item = value[key] = json.loads(bodies[item["#"]])
+            if type(item) is dict or type(item) is list:
+                open_.append(item)
+    return _encode(top[0])
+
+
+def rebuilt(bridge: DataFrame, stored: DataFrame) -> DataFrame:
+    """The documents again, from bridge and store alone: ``root_table, root_id, export_file, document`` as canonical JSON.
+
+    The objects of one document come together in one row, which is as large as the document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_assembled(root, {x["object_id"]: x["body"] for x in held}) for root, held in zip(batch["root"].to_pylist(), batch["held"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in DOCUMENT), pa.array(texts, pa.string())], [*DOCUMENT, "document"])
+
+    rows = _with_bodies(bridge, stored)
+    grouped = rows.groupBy(*DOCUMENT).agg(F.max(F.when(F.col("role") == ROOT, F.col("object_id"))).alias("root"), F.collect_set(F.struct("object_id", "body")).alias("held"))
+    return grouped.mapInArrow(run, "root_table string, root_id long, export_file string, document string")

@@ -34,16 +34,25 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, folder, inherited=True))
 
 
-def p3_bridge(spark: SparkSession, folder: str) -> DataFrame:
-    """Every object in an array of ``flow_data`` or ``node_results`` with its place, its ordinal and its ``object_id`` in the store."""
-    flows = nested.occurrences(table(spark, folder, "workflow"), "workflow", "id", "flow_data", "export_file")
-    runs = nested.occurrences(table(spark, folder, "execution_record"), "execution_record", "id", "node_results", single_is_array=True)
+def _bridge(spark: SparkSession, folder: str, every: bool) -> DataFrame:
+    flows = nested.occurrences(table(spark, folder, "workflow"), "workflow", "id", "flow_data", "export_file", every=every)
+    runs = nested.occurrences(table(spark, folder, "execution_record"), "execution_record", "id", "node_results", single_is_array=True, every=every)
     return flows.unionByName(runs)
 
 
+def p3_bridge(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and object of ``flow_data`` and ``node_results`` with its place, its ordinal and its ``object_id`` in the store."""
+    return _bridge(spark, folder, every=True)
+
+
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The bridge without the identities, which SQL cannot compute."""
+    return p3_bridge(spark, folder).drop("object_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every object in an array of ``flow_data`` or ``node_results``, with its link to the object that holds it."""
-    return p3_bridge(spark, folder).select("root_table", "root_id", "export_file", "path", "parent_path", "child_key")
+    return _bridge(spark, folder, every=False).select("root_table", "root_id", "export_file", "path", "parent_path", "child_key")
 
 
 def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +62,17 @@ def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
     return nested.store(flows.unionByName(runs))
 
 
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of ``flow_data`` and ``node_results`` with its place, from the bridge and the store alone."""
+    return nested.values(p3_bridge(spark, folder), p3_objects(spark, folder))
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences in the bridge and in the store, which must agree: per role and in all."""
+    roles = p3_bridge(spark, folder).groupBy("role").agg(F.count(F.lit(1)).alias("occurrences"))
+    return roles.unionByName(p3_objects(spark, folder).agg(F.lit("stored").alias("role"), F.sum("occurrences").alias("occurrences")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of the form of ``flow_data`` from one export file to the next."""
     return drift.changes(table(spark, folder, "workflow"), "export_file", "id", "flow_data")
@@ -132,7 +152,7 @@ with files as (
 )
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_found, p3_objects, p5_found, p5_catalogue, p5_types, p5_table)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_links, p3_found, p3_objects, p3_values, p3_counts, p5_found, p5_catalogue, p5_types, p5_table)}
 
 SQL: dict[str, str] = {
     "p2_found": _STATES + "select ref, id, reason, period from direct",
@@ -143,6 +163,27 @@ SQL: dict[str, str] = {
     when json_type(value, '$.name') = 'VARCHAR' then value->>'$.name'
     when json_type(value, '$.nodeId') = 'VARCHAR' then value->>'$.nodeId' end, '') as child_key
 from tree where type = 'OBJECT' and regexp_matches(place, '/[0-9]+$')""",
+    "p3_links": _TREE
+    + """select root_table, root_id, export_file, ltrim(place, '/') as path, role,
+  case when role = 'root' then '' else coalesce(regexp_extract(ltrim(place, '/'), '^((?:.*/)?[0-9]+)/.*[^0-9/].*' || case when role = 'element' then '/[0-9]+$' else '$' end, 1), '') end as parent_path,
+  case when role = 'element' then regexp_extract(place, '[0-9]+$')::int else -1 end as ordinal,
+  case when role = 'root' then '' else coalesce(case when json_type(value, '$.id') = 'VARCHAR' then value->>'$.id'
+    when json_type(value, '$.name') = 'VARCHAR' then value->>'$.name'
+    when json_type(value, '$.nodeId') = 'VARCHAR' then value->>'$.nodeId' end, '') end as child_key
+from (select root_table, root_id, export_file, place, any_value(value) as value, case when place = '' then 'root' when regexp_matches(place, '/[0-9]+$') then 'element' else 'field' end as role
+  from tree where type = 'OBJECT' or place = '' group by all)""",
+    "p3_values": _TREE
+    + """select root_table, root_id, export_file, ltrim(place, '/') as path,
+  case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as type,
+  case type when 'VARCHAR' then value->>'$' when 'NULL' then '' else value::varchar end as value
+from (select distinct root_table, root_id, export_file, type, place, value::varchar as text, any_value(value) as value from tree where type not in ('OBJECT', 'ARRAY') group by all)""",
+    "p3_counts": _TREE
+    + """, kept as (
+  select distinct root_table, root_id, export_file, place, type from tree where type = 'OBJECT' or place = ''
+), roles as (
+  select case when place = '' then 'root' when regexp_matches(place, '/[0-9]+$') then 'element' else 'field' end as role, count(*) as occurrences from kept group by all
+)
+select role, occurrences from roles union all select 'stored', sum(occurrences)::bigint from roles""",
     "p5_catalogue": _FIELDS
     + """, typed as (
   select export_file, path, string_agg(kind, '|' order by kind) as types from fields group by export_file, path
