@@ -4,7 +4,7 @@ Every object gets a Merkle identity: objects are canonicalised bottom-up (keys s
 own identities) and hashed, so equal objects anywhere share one identity and need storing once, while each occurrence
 stays a row of the bridge with its place, its ordinal and the place of the object that holds it. The bridge has the
 documents themselves, the objects in arrays and those in fields, told apart by ``role``; together with the store it gives
-the documents again (``rebuilt``) and every value in them (``values``).
+the documents again (``rebuilt``); ``values`` has every scalar of them with its place.
 
 Defined results: null, blank, cut off or otherwise incomplete texts give no rows; array elements that are not objects
 give no row of the bridge but count as positions, and stand in the body of what holds them; a document that is an array
@@ -187,13 +187,6 @@ def objects(frame: DataFrame, root_id: str, text: str, export_file: str | None =
     return store(counts(frame, root_id, text, export_file, single_is_array))
 
 
-def _with_bodies(bridge: DataFrame, stored: DataFrame) -> DataFrame:
-    """The bridge with the body of each occurrence. The bridge is checkpointed, as its hot objects are measured before they are split."""
-    held = checkpointed(bridge)
-    hot = hot_keys({"bridge": (held, "object_id")})["bridge"]
-    return salted_join(held, stored.select(F.col("object_id").alias("__object"), "body"), "object_id", "__object", "root_id", hot, how="inner")
-
-
 def _scalars(body: str, path: str) -> Iterator[tuple[str, str, str]]:
     """``(path, type, value)`` of every scalar of one body; nested objects have bodies of their own."""
     start = f"{path}/" if path else ""
@@ -210,22 +203,40 @@ def _scalars(body: str, path: str) -> Iterator[tuple[str, str, str]]:
             yield place, "boolean" if type(value) is bool else "number", _encode(value)
 
 
-def values(bridge: DataFrame, stored: DataFrame) -> DataFrame:
-    """Every scalar of every document, from bridge and store alone: ``root_table, root_id, export_file, path, type, value``; null has the value ''."""
+def values(frame: DataFrame, root_table: str, root_id: str, text: str, export_file: str | None = None, single_is_array: bool = False) -> DataFrame:
+    """Every scalar of every document: ``root_table, root_id, export_file, path, type, value``; null has the value ''.
+
+    They are the scalars of the body of each occurrence, placed by its path: what bridge and store hold, brought together
+    where a document is decoded, so nothing but the source rows is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
-            for row, (path, body) in enumerate(zip(batch["path"].to_pylist(), batch["body"].to_pylist(), strict=True)):
-                found = list(_scalars(body, path))
-                rows += [row] * len(found)
-                out += found
-            paths, types, texts = zip(*out, strict=True) if out else ((), (), ())
-            places = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[x].take(places) for x in DOCUMENT), _strings(list(paths)), pa.array(types, pa.string()), _strings(list(texts))], [*DOCUMENT, "path", "type", "value"])
+            rows: list[int] = []
+            out: list[tuple[str, str, str]] = []
+            for row, body in enumerate(batch["text"].to_pylist()):
+                document = decode(body)
+                if document is BROKEN:
+                    continue
+                places, bodies = shred(document, single_is_array)
+                known = dict(bodies)
+                for path, _, _, _, name, _ in places:
+                    out += _scalars(known[name], path)
+                rows += [row] * (len(out) - len(rows))
+                if len(out) >= BATCH:
+                    yield _valued(batch, rows, out)
+                    rows, out = [], []
+            if out:
+                yield _valued(batch, rows, out)
+
+    found = _documents(frame, root_id, text, export_file).mapInArrow(run, "root_id long, export_file string, path string, type string, value string")
+    return found.select(F.lit(root_table).alias("root_table"), "*")
 
-    rows = _with_bodies(bridge, stored).select(*DOCUMENT, "path", "body")
-    return rows.mapInArrow(run, "root_table string, root_id long, export_file string, path string, type string, value string")
+
+def _valued(batch: pa.RecordBatch, rows: list[int], out: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    paths, types, texts = zip(*out, strict=True)
+    places = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([batch["root_id"].take(places), batch["export_file"].take(places), _strings(list(paths)), pa.array(types, pa.string()), _strings(list(texts))], ["root_id", "export_file", "path", "type", "value"])
 
 
 def _assembled(root: str, bodies: dict[str, str]) -> str:
@@ -245,14 +256,17 @@ def _assembled(root: str, bodies: dict[str, str]) -> str:
 def rebuilt(bridge: DataFrame, stored: DataFrame) -> DataFrame:
     """The documents again, from bridge and store alone: ``root_table, root_id, export_file, document`` as canonical JSON.
 
-    The objects of one document come together in one row, which is as large as the document.
+    The bridge is checkpointed, as its hot objects are measured and split before the bodies join it. The objects of one
+    document come together in one row, which is as large as the document.
     """
+    held = checkpointed(bridge)
+    hot = hot_keys({"bridge": (held, "object_id")})["bridge"]
+    rows = salted_join(held, stored.select(F.col("object_id").alias("__object"), "body"), "object_id", "__object", "root_id", hot, how="inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_assembled(root, {x["object_id"]: x["body"] for x in held}) for root, held in zip(batch["root"].to_pylist(), batch["held"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[x] for x in DOCUMENT), pa.array(texts, pa.string())], [*DOCUMENT, "document"])
 
-    rows = _with_bodies(bridge, stored)
     grouped = rows.groupBy(*DOCUMENT).agg(F.max(F.when(F.col("role") == ROOT, F.col("object_id"))).alias("root"), F.collect_set(F.struct("object_id", "body")).alias("held"))
     return grouped.mapInArrow(run, "root_table string, root_id long, export_file string, document string")

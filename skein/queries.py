@@ -63,8 +63,9 @@ def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Every value of ``flow_data`` and ``node_results`` with its place, from the bridge and the store alone."""
-    return nested.values(p3_bridge(spark, folder), p3_objects(spark, folder))
+    """Every scalar of ``flow_data`` and ``node_results`` with its place."""
+    flows = nested.values(table(spark, folder, "workflow"), "workflow", "id", "flow_data", "export_file")
+    return flows.unionByName(nested.values(table(spark, folder, "execution_record"), "execution_record", "id", "node_results", single_is_array=True))
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
