@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.operators import drift, nested, references
 from skein.operators.references import ForeignKey
@@ -96,6 +97,47 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.consistent(table(spark, folder, "workflow"), "export_file", "id", "flow_data")
 
 
+def p5_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of all files, taken from the consistent table: fields under their last names, numbers that were texts in some files as texts."""
+    rows = p5_table(spark, folder)
+    kind = rows.schema["flow"].dataType
+
+    def has(*names: str) -> bool:
+        at = kind
+        for name in names:
+            at = at.elementType if isinstance(at, T.ArrayType) else at
+            if not isinstance(at, T.StructType) or name not in at.names:
+                return False
+            at = at[name].dataType
+        return True
+
+    nodes = rows.select("id", "export_file", F.posexplode("flow.nodes").alias("place", "node")) if has("nodes", "id") else rows.select("id", "export_file", F.lit(0).alias("place"), F.lit(None).alias("node")).limit(0)
+
+    def held(*names: str) -> F.Column:
+        return F.col(".".join(("node", *names))).cast("string") if has("nodes", *names) else F.lit(None).cast("string")
+
+    def listed(field: str, name: str) -> F.Column:
+        return F.array_join(F.col(f"node.data.{field}.{name}"), ",", "-") if has("nodes", "data", field, name) else F.lit(None).cast("string")
+
+    tags = F.array_join("node.data.tags", ",") if has("nodes", "data", "tags") else F.lit(None).cast("string")
+    return nodes.select(
+        "id", "export_file", "place", held("id").alias("node_id"), held("type").alias("node_type"), held("data", "modelName").alias("model"), held("data", "maxTokens").alias("max_tokens"),
+        held("data", "configId").alias("config_id"), held("data", "temperature").alias("temperature"), tags.alias("tags"), listed("inputParams", "ref").alias("refs"), listed("outputParams", "desc").alias("descriptions"),
+    )
+
+
+#: Tables whose footers are catalogued.
+TABLES = "app_user customer documents embeddings eval_item events execution_record lineitem llm_global_config nation node_definition orders part region supplier workflow".split()
+
+
+def p5_footers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields and types of every table of the folder, from the footers of its files."""
+    fields = drift.footer_inventory(spark, folder)
+    name = F.regexp_extract("file", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    own = fields.select(name.alias("file"), drift.shown(F.col("steps")).alias("path"), "type")
+    return own.where(F.col("file").isin(TABLES) & ~F.contains(F.col("path"), F.lit("."))).distinct()
+
+
 _STATES = """
 with user_state as (
   select id, max_by(coalesce(deleted, 0), updated_at) as gone, max(created_at) as born from app_user group by id
@@ -153,7 +195,7 @@ with files as (
 )
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_links, p3_found, p3_objects, p3_values, p3_counts, p5_found, p5_catalogue, p5_types, p5_table)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p3_bridge, p3_links, p3_found, p3_objects, p3_values, p3_counts, p5_found, p5_catalogue, p5_types, p5_table, p5_nodes, p5_footers)}
 
 SQL: dict[str, str] = {
     "p2_found": _STATES + "select ref, id, reason, period from direct",
@@ -204,6 +246,26 @@ select path, dense_rank() over (partition by path order by run) as island, first
 select path, kind as type, dense_rank() over (partition by path, kind order by run) as island,
   min(export_file) as first_file, max(export_file) as last_file, count(*) as files
 from ranked group by path, kind, run""",
+    "p5_nodes": f"""
+with flows as (
+  select distinct * exclude (flow_data), {_body("flow_data")} as body from workflow
+), nodes as (
+  select id, export_file, unnest(generate_series(0, len(json_extract(body, '$.nodes[*]')) - 1)) as place, unnest(json_extract(body, '$.nodes[*]')) as n
+  from flows where body is not null and json_type(body) = 'OBJECT'
+)
+select id, export_file, place::int as place, n->>'$.id' as node_id, n->>'$.type' as node_type,
+  coalesce(n->>'$.data.modelName', n->>'$.data.model') as model, coalesce(n->>'$.data.maxTokens', n->>'$.data.maxtokens') as max_tokens,
+  n->>'$.data.configId' as config_id, n->>'$.data.temperature' as temperature,
+  case json_type(n, '$.data.tags') when 'ARRAY' then array_to_string(json_extract_string(n, '$.data.tags[*]'), ',') else n->>'$.data.tags' end as tags,
+  case when json_type(n, '$.data.inputParams') = 'ARRAY' then array_to_string(list_transform(json_extract(n, '$.data.inputParams[*]'), lambda x: coalesce(x->>'$.ref', x->>'$.referenceNode', '-')), ',') end as refs,
+  case when json_type(n, '$.data.outputParams') = 'ARRAY' then array_to_string(list_transform(json_extract(n, '$.data.outputParams[*]'), lambda x: coalesce(x->>'$.desc', x->>'$.description', '-')), ',') end as descriptions
+from nodes""",
+    "p5_footers": f"""
+select table_name as file, column_name as path, case
+    when data_type like '%[]' then 'array' when data_type like 'DECIMAL(%' then 'decimal128(' || replace(data_type[9:], ',', ', ')
+    when data_type = 'BIGINT' then 'int64' when data_type = 'INTEGER' then 'int32' when data_type = 'VARCHAR' then 'string' when data_type = 'TIMESTAMP' then 'timestamp[us]'
+    when data_type = 'DATE' then 'date32[day]' else lower(data_type) end as type
+from information_schema.columns where table_name in ({", ".join(f"'{x}'" for x in TABLES)})""",
     "p5_found": _FIELDS
     + """, typed as (
   select export_file, path, rank, string_agg(kind, '|' order by kind) as types from fields join files using (export_file) group by all

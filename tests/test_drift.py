@@ -1,9 +1,11 @@
+import datetime as dt
 import json
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from skein.operators.drift import aliases, catalogue, changes, consistent, file_ranks, footer_inventory, inventory, type_catalogue
+from skein.operators.drift import aliases, catalogue, changes, consistent, file_ranks, footer_inventory, inventory, lifespans, renames, shown, spans_of, type_catalogue
 from tests.conftest import rows
 
 SCHEMA = "id long, body string, file string, path string, rank int"
@@ -52,7 +54,7 @@ def test_empty_and_single_file(spark):
 
 def test_consistent_table(spark):
     frame = table(spark, (1, {"v": 1, "t": "x", "old": 5}, "f1"), (2, {"v": "2", "t": ["y"], "new": 7, "p": {"x": 1}}, "f2"), (1, {"v": 3, "new": 5, "p": [1, 2]}, "f2"), (9, "broken", "f2"))
-    assert aliases(changes(frame, "file", "id", "body")) == {"old": "new"}
+    assert aliases(renames(spans_of(frame, "file", "body"), frame, "file", "id", "body")) == {(".old",): (".new",)}
     out = {(x.id, x.file): x.flow and x.flow.asDict() for x in consistent(frame, "file", "id", "body").collect()}
     assert out == {
         (1, "f1"): {"new": 5.0, "p": None, "t": ["x"], "v": "1"},
@@ -62,10 +64,57 @@ def test_consistent_table(spark):
     }
 
 
+def flows(frame):
+    return {(x.id, x.file): x.flow and x.flow.asDict(recursive=True) for x in consistent(frame, "file", "id", "body").collect()}
+
+
+def test_names_with_dots_and_names_that_differ_in_case(spark):
+    frame = table(spark, (1, {"a.b": 1, "c": {"d.e": {"f": "x"}}, "A": 1, "a": 2}, "f1"), (1, {"a.b": 1, "c": {"g.h": {"f": "x"}}, "A": 1, "a": 2}, "f2"))
+    assert report(frame) == [("f2", "added", "", "c.g.h.f", "", "string"), ("f2", "removed", "c.d.e.f", "", "string", ""), ("f2", "renamed", "c.d.e", "c.g.h", "object", "object")]
+    out = {"A": 1, "a.b": 1, "a_2": 2, "c": {"g.h": {"f": "x"}}}
+    assert flows(frame) == {(1, "f1"): out, (1, "f2"): out}
+
+
+def test_numbers_keep_all_digits(spark):
+    frame = table(spark, (1, {"l": 2**60 + 1, "d": 10**30 + 1, "h": 10**40, "s": 1, "m": 2**60 + 1, "f": 0.5}, "f1"), (2, {"l": 1, "d": 2, "h": 1, "s": 0.5, "m": 0.5, "f": 1}, "f1"))
+    assert flows(frame) == {
+        (1, "f1"): {"l": 2**60 + 1, "d": Decimal(10**30 + 1), "h": str(10**40), "s": 1.0, "m": str(2**60 + 1), "f": 0.5},
+        (2, "f1"): {"l": 1, "d": Decimal(2), "h": "1", "s": 0.5, "m": "0.5", "f": 1.0},
+    }
+
+
+def test_arrays_of_every_kind_lose_nothing(spark):
+    frame = table(spark, (1, {"o": [{"x": 1}, None], "m": [{"x": 1}, 2], "e": [], "n": [], "w": [{"x": 1}]}, "f1"), (2, {"o": [], "m": [], "e": [1, [2]], "n": None, "w": [3]}, "f1"))
+    assert flows(frame) == {
+        (1, "f1"): {"o": [{"x": 1}, None], "m": '[{"x":1},2]', "e": [], "n": [], "w": '[{"x":1}]'},
+        (2, "f1"): {"o": [], "m": "[]", "e": ["1", "[2]"], "n": None, "w": "[3]"},
+    }
+
+
+def test_deep_fields_are_text(spark):
+    frame = table(spark, (1, '{"a":' * 2000 + "1" + "}" * 2000, "f1"), (2, {"b": 1}, "f1"))
+    value = flows(frame)[1, "f1"]["a"]
+    for _ in range(30):
+        value = value["a"]
+    assert value["a"] == '{"a":' * 1968 + "1" + "}" * 1968 and flows(frame)[2, "f1"] == {"a": None, "b": 1}
+
+
+def test_renames_in_turn_and_many_equal_fields(spark):
+    frame = table(spark, *((n, {"k": n, "n": {"p": n, **{f"same{i}": True for i in range(30)}}}, "f1") for n in range(4)), *((n, {"key": n, "n": {"q": n, **{f"also{i}": True for i in range(30)}}}, "f2") for n in range(4)), *((n, {"name": n, "n": {"q": n}}, "f3") for n in range(4)))
+    found = renames(spans_of(frame, "file", "body"), frame, "file", "id", "body")
+    steps = aliases(found)
+    assert steps[(".k",)] == steps[(".key",)] == (".name",) and steps[(".n", ".p")] == (".n", ".q")
+    assert sum(x.file == "f2" and x.old[-1].startswith(".same") for x in found) == 30
+    assert [x["flow"]["name"] for x in consistent(frame, "file", "id", "body").orderBy("file", "id").collect()] == [0, 1, 2, 3] * 3
+
+
 def test_footers(spark, tmp_path):
-    pq.write_table(pa.table({"a": [1], "s": [{"x": "y"}], "l": [[{"k": 1.0}]]}), tmp_path / "one.parquet")
-    found = rows(footer_inventory(spark, [str(tmp_path / "one.parquet")]).select("path", "type"))
-    assert found == [("a", "int64"), ("l", "array"), ("l[].k", "double"), ("s", "object"), ("s.x", "string")]
+    pq.write_table(pa.table({"a": [1], "s": [{"x.y": "y"}], "l": [[{"k": 1.0}]], "t": [dt.date(2025, 1, 1)]}), tmp_path / "one.parquet")
+    pq.write_table(pa.table({"a": ["x"], "l": [[{"k": 1.0}]]}), tmp_path / "two.parquet")
+    fields = footer_inventory(spark, str(tmp_path))
+    assert rows(fields.where("file like '%one.parquet'").select(shown(fields.steps), "type")) == [("a", "int64"), ("l", "array"), ("l[].k", "double"), ("s", "object"), ("s.x.y", "string"), ("t", "date32[day]")]
+    spans = lifespans(fields, file_ranks(fields, "file"))
+    assert rows(spans.where("rank = 2").select("path", "types_before", "types", "starts")) == [("a", "int64", "string", False), ("l", "array", "array", False), ("l[].k", "double", "double", False)]
 
 
 def test_each_type_has_its_own_lifespan(spark):
