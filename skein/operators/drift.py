@@ -88,14 +88,57 @@ def form_of(value: Any) -> str:
     return "double" if type(value) is float else KINDS[type(value)]
 
 
+#: JSON type of each form.
+TYPE_OF = {x: "number" for x in ("small", "long", "decimal", "huge", "double")} | {x: "array" for x in ("nothing", "mixed", "objects", "array")} | {x: x for x in ("string", "boolean", "object")}
+
+#: Fields by name: the forms of each, the fields below it and those below its elements.
+Level = dict[str, tuple[set[str], "Level", "Level"]]
+
+
+def gather(document: dict[str, Any], into: Level) -> None:
+    """Add the fields of a document, at any depth, and their forms."""
+    open_ = [(document, into)]
+    while open_:
+        node, level = open_.pop()
+        for key, value in node.items():
+            if value is None:
+                continue
+            entry = level.get(key)
+            if entry is None:
+                entry = level[key] = (set(), {}, {})
+            kind = type(value)
+            entry[0].add("string" if kind is str else form_of(value))
+            if kind is dict:
+                open_.append((value, entry[1]))
+            elif kind is list:
+                open_ += [(item, entry[2]) for item in value if type(item) is dict]
+
+
+def gathered(level: Level) -> Iterator[tuple[list[str], str]]:
+    """Steps and form of every field."""
+    open_: list[tuple[list[str], Level]] = [([], level)]
+    while open_:
+        above, level = open_.pop()
+        for key, (forms, below, each) in level.items():
+            steps = [*above, "." + clean(key)]
+            for form in forms:
+                yield steps, form
+            open_ += [(steps, below)] * bool(below) + [([*steps, EACH], each)] * bool(each)
+
+
 def inventory(frame: DataFrame, file: str, text: str) -> DataFrame:
     """Distinct ``(file, steps, type, form)`` of the JSON held in ``text``; made distinct in each batch, so little is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(name, steps, form_of(value), type(value)) for name, body in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True) for steps, values in _fields(body).items() for value in values}
-            files, steps, forms, types = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array([[clean(x) for x in y] for y in steps], pa.list_(pa.string())), pa.array([KINDS[x] for x in types], pa.string()), pa.array(forms, pa.string())], ["file", "steps", "type", "form"])
+            files: dict[str, Level] = {}
+            for name, body in zip(batch["file"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                document = decode(body)
+                if type(document) is dict:
+                    gather(document, files.setdefault(name, {}))
+            found = [(name, steps, TYPE_OF[form], form) for name, level in files.items() for steps, form in gathered(level)]
+            columns = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.string(), pa.list_(pa.string()), pa.string(), pa.string()), strict=True)], ["file", "steps", "type", "form"])
 
     rows = frame.select(F.col(file).alias("file"), F.col(text).alias("text")).where(F.col("file").isNotNull())
     return rows.mapInArrow(run, "file string, steps array<string>, type string, form string").distinct()
