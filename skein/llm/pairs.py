@@ -2,7 +2,7 @@
 
 The copied part of an answer is measured by traversing a suffix automaton of the question; refusals are found by an
 Aho-Corasick automaton over phrases, cut-off answers by a stack of delimiters and by how they end, foreign answers by
-votes of scripts and stopwords.
+votes of scripts and stopwords. A mark that stays open tells of a cut only where the text also stops without an end.
 
 Defined results: a null, blank, invisible or placeholder answer is ``empty`` whatever else the row holds, unless the
 error says that the model or provider declined (``refusal``); a null or blank question leaves copy and language out;
@@ -20,6 +20,7 @@ from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,24 @@ QUESTION_FIELDS = ("input", "user_input", "question", "prompt", "text", "query")
 #: Answers that only stand for a missing one, without punctuation and in lower case.
 PLACEHOLDERS = frozenset("null none nil na n/a nan undefined empty tbd todo 无 空 暂无 没有 无内容 なし".split())
 
-#: Words of refusals; phrases are every combination of an inability and an act.
-UNABLE_EN = ("can't", "cannot", "can not", "unable to", "not able to", "won't be able to", "will not be able to", "won't", "will not", "must not", "would rather not", "prefer not to", "not possible for me to", "not allowed to", "not permitted to", "do not let me", "don't let me", "not comfortable")
-ACTS_EN = ("help", "assist", "provide", "produce", "create", "write", "discuss", "discussing", "answer", "comply", "fulfil", "fulfill", "process", "generate", "support", "cover", "share", "complete", "respond", "talk about")
-UNABLE_ZH = ("无法", "不能", "没办法", "没法", "不方便", "不便", "不可以", "拒绝")
-ACTS_ZH = ("提供", "讨论", "写", "生成", "回答", "处理", "完成", "满足", "协助", "帮助", "帮你", "帮您", "为你", "为您", "创作", "给出", "继续", "支持", "执行", "谈论", "输出")
-REFUSALS = ("have to decline", "must decline", "request declined", "i decline", "i refuse", "outside what i", "beyond what i", "must leave to", "let's talk about something else", "超出了我", "换个问题", "换一个吧", "换个话题", "no puedo ayudar", "no puedo responder", "お答えできません", "お手伝いできません")
+#: Words of refusals; phrases are every combination of an inability and an act. In English the sentence must also be in the first person.
+UNABLE_EN = ("can't", "cannot", "can not", "unable to", "not able to", "won't be able to", "will not be able to", "won't", "will not", "must not", "would rather not", "prefer not to", "not possible for me to", "not allowed to", "not permitted to", "do not let me", "don't let me", "not comfortable", "don't have the ability to", "do not have the ability to", "lack the ability to", "not in a position to")
+ACTS_EN = ("help", "assist", "provide", "produce", "create", "write", "discuss", "discussing", "answer", "comply", "fulfil", "fulfill", "process", "generate", "support", "cover", "share", "complete", "respond", "talk about", "do that", "do this", "do so", "offer", "engage", "carry out", "accommodate")
+FIRST_PERSON = re.compile(r"\b(?:i|i'm|i'd|i'll|we|we're|me|my|our|us)\b")
+UNABLE_ZH = ("无法", "不能", "没办法", "没法", "不方便", "不便", "不可以", "拒绝", "没有能力")
+ACTS_ZH = ("提供", "讨论", "写", "生成", "回答", "处理", "完成", "满足", "协助", "帮助", "帮你", "帮您", "为你", "为您", "创作", "给出", "继续", "支持", "执行", "谈论", "输出", "答复", "帮到", "照办", "做到这")
+#: Whole phrases of refusals, in every language with a list of stopwords and some more.
+REFUSALS = (
+    "have to decline", "must decline", "request declined", "i decline", "i refuse", "outside what i", "beyond what i", "must leave to", "let's talk about something else", "against my guidelines", "against our guidelines", "against my policy", "against our policy", "against our policies", "violates our", "violates my", "not something i can",
+    "超出了我", "换个问题", "换一个吧", "换个话题", "做不到这", "恕难", "恕我不能", "恕不", "爱莫能助", "违反了我们的", "不符合我们的",
+    "no puedo ayudar", "no puedo responder", "no puedo hacer eso", "no me es posible", "no estoy en condiciones de",
+    "je ne peux pas répondre", "je ne peux pas vous aider", "je ne peux pas t'aider", "je ne peux pas faire", "je ne peux pas fournir", "je ne peux pas traiter", "je ne suis pas en mesure de", "il m'est impossible de",
+    "ich kann dabei nicht helfen", "kann ich nicht beantworten", "kann ich leider nicht", "ich kann ihnen nicht", "ich kann dir nicht", "ich kann diese anfrage nicht", "bin nicht in der lage",
+    "não posso ajudar", "não posso responder", "não posso fazer isso", "não consigo ajudar", "não me é possível",
+    "non posso aiutar", "non posso rispondere", "non posso farlo", "non sono in grado di", "non mi è possibile",
+    "お答えできません", "お手伝いできません", "お応えできません", "対応できません", "提供できません", "お断りします",
+    "답변할 수 없", "도와드릴 수 없", "도움을 드릴 수 없", "не могу помочь", "не могу ответить", "не могу выполнить",
+)
 REFUSED_ERRORS = ("content_filter", "content filter", "拒绝回答", "审核未通过", "safety system", "declined the request", "content policy", "blocked by content", "model refused", "provider refused")
 CUT_ERRORS = ("partial answer", "已截断", "截断", "finish_reason=length", "stream closed", "max_tokens", "truncated", "输出达到上限")
 
@@ -48,7 +61,9 @@ REFUSED_SHARE = 0.5
 #: Share of the question that one copied run must cover, and of the answer that copied runs must cover.
 COPIED_QUESTION, COPIED_ANSWER = 0.8, 0.9
 #: Words around a copied question that only label it.
-LABELS = frozenset("question prompt query input you asked your is was the q a user says repeat echo 问题 问 提问 题目 你的 您的 你问 输入 是 原问题 用户 用户问 回答 答".split())
+LABELS = frozenset("question prompt query input you asked your is was the q a user says repeat echo answer reply response output result 问题 问 提问 题目 你的 您的 你问 输入 是 原问题 用户 用户问 回答 答 答案 回复 输出 结果".split())
+#: A label at the begin of a line or a sentence: a few words and a colon, or something in brackets or marks of emphasis.
+LABEL = re.compile(r"(?:^|[\n.。!！?？])[\s>#*_\"“-]*[^\s:：.。!！?？,，;；][^:：.。!！?？,，;；\n]{0,23}[:：]|\[[^\]\n]{1,24}\]|\*\*[^*\n]{1,24}\*\*")
 
 #: Words in a last line after which no text ends.
 DANGLING_EN = frozenset("the a an of to and or with for in on at by from that than is are was its as but when if until before after because so whether which while into their this these".split())
@@ -87,6 +102,11 @@ NAMED = {
     "it": ("italian", "意大利", "italiano"),
     "ko": ("korean", "韩文", "韩语", "韓国語"),
     "ru": ("russian", "俄文", "俄语"),
+    "ar": ("arabic", "阿拉伯"),
+    "el": ("greek", "希腊"),
+    "he": ("hebrew", "希伯来"),
+    "hi": ("hindi", "印地语"),
+    "th": ("thai", "泰文", "泰语"),
 }
 #: A wide character says as much as so many letters of an alphabet.
 WIDE_WEIGHT = 2.5
@@ -95,6 +115,9 @@ WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 NOT_ALNUM = re.compile(r"[\W_]+", re.UNICODE)
 HAN, KANA, HANGUL = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]+"), re.compile(r"[\u3040-\u30ff]+"), re.compile(r"[\uac00-\ud7af]+")
 CYRILLIC, LATIN = re.compile(r"[\u0400-\u04ff]+"), re.compile(r"[A-Za-z\u00c0-\u024f]+")
+#: Other scripts, by the language that most texts in them are in.
+SCRIPTS = {name: regex.compile(rf"\p{{Script={script}}}") for name, script in (("ar", "Arabic"), ("el", "Greek"), ("he", "Hebrew"), ("hi", "Devanagari"), ("th", "Thai"), ("bn", "Bengali"), ("ta", "Tamil"), ("te", "Telugu"), ("ka", "Georgian"), ("hy", "Armenian"), ("am", "Ethiopic"), ("km", "Khmer"), ("my", "Myanmar"), ("lo", "Lao"), ("si", "Sinhala"), ("gu", "Gujarati"), ("pa", "Gurmukhi"), ("kn", "Kannada"), ("ml", "Malayalam"), ("bo", "Tibetan"))}
+WORD_MARKS = regex.compile(r"[\p{L}\p{M}]")
 #: Code, paths, addresses and file names, which are in no language.
 CODE = re.compile(r"```.*?(?:```|$)|[\w.:-]*[/\\][\w./\\-]+|\b[\w-]+\.[A-Za-z]\w{1,3}\b", re.DOTALL | re.ASCII)
 VISIBLE = re.compile(r"[^\W_]", re.UNICODE)
@@ -106,6 +129,7 @@ def _count(pattern: re.Pattern[str], text: str) -> int:
     return len(text) - len(pattern.sub("", text))
 
 
+@lru_cache(maxsize=8)  # the steps of one pair ask for the same texts
 def _plain(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).replace("’", "'").replace("‘", "'").lower()
 
@@ -171,8 +195,10 @@ def _refusals() -> Any:
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for phrase in (*REFUSALS, *(f"{a} {b}" for a in UNABLE_EN for b in ACTS_EN), *(a + b for a in UNABLE_ZH for b in ACTS_ZH)):
-        machine.add_word(phrase, len(phrase))
+    for phrase in (*REFUSALS, *(a + b for a in UNABLE_ZH for b in ACTS_ZH)):
+        machine.add_word(phrase, False)
+    for phrase in (f"{a} {b}" for a in UNABLE_EN for b in ACTS_EN):
+        machine.add_word(phrase, True)  # only in the first person
     machine.make_automaton()
     return machine
 
@@ -190,7 +216,7 @@ def is_refusal(answer: str) -> bool:
     for sentence in SENTENCE.findall(bare):
         size = len(NOT_ALNUM.sub("", sentence))
         total += size
-        if size and next(machine.iter(sentence), None) is not None:
+        if size and any(not english or FIRST_PERSON.search(sentence) for _, english in machine.iter(sentence)):
             declined += size
     return total > 0 and declined >= REFUSED_SHARE * total
 
@@ -205,9 +231,7 @@ def is_empty(answer: str) -> bool:
 
 
 def _open(text: str) -> bool:
-    """Whether a bracket, quotation mark or code fence stays open at the end."""
-    if text.count("```") % 2:
-        return True
+    """Whether a bracket or quotation mark stays open at the end."""
     stack: list[str] = []
     straight = False
     for char in DELIMITER.findall(text):
@@ -236,14 +260,14 @@ def is_cut(answer: str) -> bool:
     text = answer.rstrip()
     marked = END_MARKS.search(text)
     if marked and marked.start() > 0:
-        return _open(text[: marked.start()])
+        return bool(text.count("```") % 2)
     if is_json(text):
         return False
-    if _open(text):
+    last = text[-1]
+    if text.count("```") % 2 or last not in TERMINAL and _open(text):  # in a text that ends properly an unclosed mark is a slip
         return True
     if "\n" in text and BARE_MARK.match(text[text.rindex("\n") + 1 :]):
         return True
-    last = text[-1]
     if last in TERMINAL or last in CLOSERS or last in "\"'`*_|>" or unicodedata.category(last) == "So":
         return False
     if last in ",，、:：(（-—" and len(text) > 1:
@@ -273,6 +297,9 @@ def language(text: str) -> tuple[str, float]:
         votes |= {"zh" if kana * 12 < han else "ja": (han + kana) * WIDE_WEIGHT}
         if han + kana + votes["latin"] < len(text) / 4:
             votes |= {"ko": _count(HANGUL, text) * WIDE_WEIGHT, "ru": float(_count(CYRILLIC, text))}
+            letters = len(WORD_MARKS.findall(text))
+            if sum(votes.values()) < letters:  # some other script
+                votes |= {name: float(len(script.findall(text))) for name, script in SCRIPTS.items()}
     best = max(votes, key=lambda x: votes[x])
     weight = votes[best]
     if not weight:
@@ -297,7 +324,7 @@ def is_foreign(question: str, answer: str) -> bool:
     asked, _ = _language(question)
     if asked == "latin" and question.isascii() and len(question.split()) > 3:
         asked = "en"  # in the other languages a sentence without a single stopword hardly occurs
-    if not asked or asked == mine or "latin" in (asked, mine) and asked not in ("zh", "ja", "ko", "ru") and mine not in ("zh", "ja", "ko", "ru"):
+    if not asked or asked == mine or "latin" in (asked, mine) and {asked, mine} <= {"latin", *STOPWORDS}:
         return False
     if mine == "latin" and len(answer.split()) < 3:
         return False
@@ -305,9 +332,8 @@ def is_foreign(question: str, answer: str) -> bool:
     return not any(name in text for name in NAMED.get(mine, ()))
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer is nothing but the question, apart from case, spacing, punctuation, labels and repetition."""
-    asked, text = NOT_ALNUM.sub("", _plain(question)), NOT_ALNUM.sub("", _plain(answer))
+def _copied(question: str, answer: str, asked: str, text: str) -> bool:
+    """Whether copied runs cover the question and, apart from label words, the answer; ``asked`` and ``text`` are their letters and digits."""
     if len(asked) < 4 or len(text) < COPIED_QUESTION * len(asked):
         return False
     margin = int(len(asked) * (1 - COPIED_QUESTION)) + 1
@@ -325,6 +351,25 @@ def is_copy(question: str, answer: str) -> bool:
     return all(x in LABELS for x in WORD.findall(rest))
 
 
+def is_copy(question: str, answer: str) -> bool:
+    """Whether the answer is nothing but the question, apart from case, spacing, punctuation, labels and repetition.
+
+    Labels may stand before the question and between its parts: where the answer has any, the question is sought once
+    more with labels cut out of the answer, and of both.
+    """
+    asked, text = NOT_ALNUM.sub("", _plain(question)), NOT_ALNUM.sub("", _plain(answer))
+    if _copied(question, answer, asked, text):
+        return True
+    size = min(6, len(asked))
+    if size < 4 or len(text) > 3 * len(asked) + 400 or not any(asked[at : at + size] in text for at in range(0, len(asked) - size + 1, max(1, (len(asked) - size) // 4))):
+        return False  # labels are short, so a copy holds one of a few pieces of the question whole
+    if not LABEL.search(answer):
+        return False
+    bare, cut = LABEL.sub(" ", question), LABEL.sub(" ", answer)
+    text = NOT_ALNUM.sub("", _plain(cut))
+    return _copied(question, cut, asked, text) or bare != question and _copied(bare, cut, NOT_ALNUM.sub("", _plain(bare)), text)
+
+
 def _text_of(value: Any) -> str:
     """The answer within a decoded output: the first text that is no counter."""
     if value is None:

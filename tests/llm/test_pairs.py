@@ -38,6 +38,42 @@ def test_refusals(answer):
     assert pair(Q_EN, answer) == pair(Q_ZH, answer) == "refusal"
 
 
+@pytest.mark.parametrize("answer", [
+    "I'm sorry, but I can't do that.", "I apologize, but this request goes against our guidelines.", "I don't have the ability to write such a text.", "I am not able to carry out this request.", "Je suis désolé, mais je ne peux pas répondre à cette demande.", "Es tut mir leid, das kann ich leider nicht tun.",
+    "Lo siento, no puedo hacer eso.", "Desculpe, não posso ajudar com isso.", "Mi dispiace, non posso rispondere a questa domanda.", "申し訳ありませんが、そのご要望には対応できません。", "죄송하지만 그 요청은 도와드릴 수 없습니다.", "抱歉，这个要求恕难照办。", "К сожалению, я не могу помочь с этим.",
+])
+def test_refusals_in_other_words_and_languages(answer):
+    assert pair(Q_EN, answer) == pair(Q_ZH, answer) == "refusal"
+
+
+def test_an_inability_of_others_is_no_refusal():
+    assert pair("Can the service write to the archive?", "The service cannot write to the archive. It can only read there.") is None
+    assert pair(Q_EN, "Listeners can't share a queue. The owner field cannot support two names.") is None
+
+
+@pytest.mark.parametrize("answer", ['The screen is 5" wide and works well.', "Press [ twice.", "Sure :( that is sad.", "The size is 3 (three.", LONG_EN + " :("])
+def test_open_marks_in_texts_that_end(answer):
+    assert pair(Q_EN, answer) == (None if answer[-1] == "." else "truncated")
+
+
+@pytest.mark.parametrize("wrap", ["Answer: {}", "Reply: {}", "回复：{}", "**Your question**\n{}", "[echo] {}", "The original request was: {}"])
+@pytest.mark.parametrize("question", [Q_EN, Q_ZH, "Draft a closing line please", "Translate into Spanish: the queue keeps what failed"])
+def test_labelled_copies(wrap, question):
+    assert pair(question, wrap.replace("{}", question)) == "copy"
+
+
+def test_copies_with_a_label_inside():
+    question = "Explain how the queue works. Then tell a new listener why it is slow in the evening."
+    assert pair(question, "Part one: Explain how the queue works.\nPart two: Then tell a new listener why it is slow in the evening.") == "copy"
+    assert pair(question, "Part one: It keeps what failed.\nPart two: Then tell a new listener why it is slow in the evening.") is None
+
+
+@pytest.mark.parametrize("answer", ["تحتفظ قائمة الانتظار بما فشل من المهام ثم تعيد المحاولة لاحقا.", "Η ουρά κρατά ό,τι απέτυχε και δοκιμάζει ξανά αργότερα.", "कतार असफल कार्यों को रखती है और बाद में फिर से प्रयास करती है।", "คิวจะเก็บงาน ที่ล้มเหลว ไว้แล้วลองใหม่ อีกครั้งในภายหลัง", "התור שומר את מה שנכשל ומנסה שוב מאוחר יותר."])
+def test_answers_in_other_scripts(answer):
+    assert pair(Q_EN, answer + ".") == pair(Q_ZH, answer + ".") == "language"
+    assert pair(answer, " ".join(reversed(answer.strip(".").split())) + " " + answer[:12] + ".") is None
+
+
 @pytest.mark.parametrize("answer", ["A polite wording would be: \"I'm sorry, but I can't help with that request.\" " + LONG_EN, "Host A: I cannot recommend it enough!\nHost B: " + LONG_EN, "Host A: I'm sorry we started late today.\n" + LONG_EN])
 def test_no_refusals(answer):
     assert pair(Q_EN, answer) is None
