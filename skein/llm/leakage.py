@@ -1,9 +1,9 @@
 """Evaluation texts that stand, whole or in part, inside training texts.
 
 Texts are reduced to letters and digits in one case and width. For an item of m characters a passage counts when it holds
-at least ``SHARE`` of them. By the q-gram lemma a passage of L characters with ``blocks`` edited places of ``edited``
-characters altogether keeps at least L - q + 1 - blocks * (q - 1) - edited of its q-grams, and all of them lie within
-few diagonals. So shared q-grams are counted per item in overlapping bands of diagonals, wide enough for the edits of a
+at least ``SHARE`` of them, and ``LEAST`` where that is more. By the q-gram lemma a passage of L characters with ``blocks`` edited places of ``edited``
+characters altogether keeps at least L - q + 1 - blocks * (q - 1) - edited of its q-grams, on diagonals that are no
+farther apart than the edited characters. So shared q-grams are counted per item in overlapping bands of diagonals, wide enough for the edits of a
 passage of that item; every band that reaches the bound is verified by a banded local alignment, and an item has leaked
 when the aligned characters reach the share.
 
@@ -33,6 +33,8 @@ from skein.operators.skew import spread
 SHARE, ALIGNED = 0.4, 0.37
 #: Least score of the alignment as a share of what its matched characters alone would score: one passage, not scattered phrases.
 DENSITY = 0.6
+#: Letters and digits that a passage must have; of a shorter item all of it.
+LEAST = 12
 #: Length of q-grams for texts in wide characters and in alphabets.
 Q_WIDE, Q_NARROW = 5, 16
 #: Edited places that a passage may have, per 100 of its characters and at least, and edited characters as a share.
@@ -91,6 +93,7 @@ class Item:
     q: int
     needed: int
     band: int
+    aligned: float
 
 
 def item_of(name: int, text: str) -> Item | None:
@@ -100,17 +103,19 @@ def item_of(name: int, text: str) -> Item | None:
         return None
     wide = len(_WIDE.findall(plain)) * 2 > len(plain)
     q = Q_WIDE if wide else Q_NARROW
-    passage = SHARE * len(plain)
-    blocks = max(BLOCKS_LEAST, BLOCKS_PER_100 * passage / 100)
-    # short items: a smaller q keeps the bound positive
-    while q > 3 and passage - q + 1 - blocks * (q - 1) - EDITED * passage < 4:
+    passage = max(SHARE * len(plain), min(len(plain), LEAST))
+    edited = EDITED * passage
+    blocks = min(max(BLOCKS_LEAST, BLOCKS_PER_100 * passage / 100), edited)  # each place has at least one edited character
+
+    def bound() -> int:
+        return int(passage - q + 1 - blocks * (q - 1) - edited)
+
+    while q > 2 and bound() < 4:  # short items: a smaller q keeps the bound positive
         q -= 1
-    needed = int(passage - q + 1 - blocks * (q - 1) - EDITED * passage)
-    # few widths, as items of one width are aligned together
     band = BAND
-    while band < 2 * EDITED * passage:
+    while band < 2 * edited:  # few widths, as items of one width are aligned together
         band *= 2
-    return Item(name, codes(plain), q, max(2, needed), band)
+    return Item(name, codes(plain), q, max(1, bound()), band, ALIGNED / SHARE * passage / len(plain))
 
 
 class Index:
@@ -207,13 +212,13 @@ def align(jobs: Sequence[tuple[np.ndarray, np.ndarray, int]], width: int = BAND)
     return best & (unit - 1), best // unit
 
 
-def passes(share: float, density: float) -> bool:
+def passes(share: float, density: float, aligned: float = ALIGNED) -> bool:
     """Whether one alignment holds enough of its item, and densely enough."""
-    return share >= ALIGNED and density >= DENSITY
+    return share >= aligned and density >= DENSITY
 
 
-def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, float, float]]:
-    """``(number of the text, item id, share of the item aligned, density)`` of everything verified, one band each.
+def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, float, float, bool]]:
+    """``(number of the text, item id, share of the item aligned, density, whether it passes)`` of everything verified, one band each.
 
     Density is the score of the alignment as a share of that of its matched characters without any edit. A band that
     passes both tests goes before any that does not, then the larger share.
@@ -232,8 +237,8 @@ def search(index: Index, texts: Sequence[str | None]) -> list[tuple[int, int, fl
             for (text, item, _), chars, score in zip(part, matched.tolist(), scores.tolist(), strict=True):
                 if chars:
                     share, density = chars / len(index.items[item].points), score / (MATCH * chars)
-                    best[text, item] = max(best.get((text, item), (False, 0.0, 0.0)), (passes(share, density), share, density))
-    return [(text, index.items[item].name, share, density) for (text, item), (_, share, density) in best.items()]
+                    best[text, item] = max(best.get((text, item), (False, 0.0, 0.0)), (passes(share, density, index.items[item].aligned), share, density))
+    return [(text, index.items[item].name, share, density, good) for (text, item), (good, share, density) in best.items()]
 
 
 @lru_cache(maxsize=2)
@@ -270,7 +275,7 @@ def _search_table(rows: DataFrame, items: tuple[tuple[int, str], ...]) -> DataFr
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 names = batch["key"].to_pylist()
-                found = [(names[text], item, share) for text, item, share, density in search(index, batch["text"].to_pylist()) if passes(share, density)] if index.items else []
+                found = [(names[text], item, share) for text, item, share, _, good in search(index, batch["text"].to_pylist()) if good] if index.items else []
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["key", "item", "share"])
 
