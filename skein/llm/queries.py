@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm import leakage, pairs, percentiles, splitting, tokenizer
@@ -56,7 +57,24 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_table(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined, p6_ids, p7_found, p8_found, p8_pieces)}
+def p8_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from their pieces, and whether all pieces, encoded anew, keep the limit and the overlap.
+
+    Each piece is cut where the piece before it ends; what is cut off is the overlap.
+    """
+    over = W.partitionBy("doc_id").orderBy("piece")
+    pieces = p8_pieces(spark, folder).withColumn("before", F.lag("end").over(over)).withColumn("name", F.xxhash64("doc_id", "piece"))
+    shared = F.coalesce(F.col("before") - F.col("start"), F.lit(0))
+    both = F.filter(F.array(F.struct("name", "text"), F.struct((-F.col("name") - 1).alias("name"), F.substring(F.col("text"), F.lit(1), shared).alias("text"))), lambda x: x["text"] != "")
+    sizes = tokenizer.encode_table(pieces.select(F.explode(both).alias("x")).select("x.name", "x.text"), key="name").select("name", F.size("ids").alias("size"))
+    kept = pieces.select("doc_id", "piece", "name", "before", "start", F.substring(F.col("text"), shared + 1, F.length("text")).alias("fresh"))
+    checked = kept.join(sizes, "name").join(sizes.select((-F.col("name") - 1).alias("name"), F.col("size").alias("overlap")), "name", "left")
+    fine = (F.col("size") <= splitting.LIMIT) & F.when(F.col("before").isNull(), F.col("start") == 0).otherwise(F.coalesce(F.col("overlap").between(1, splitting.OVERLAP), F.lit(False)))
+    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "fresh"))), lambda x: x["fresh"]), ""))
+    return checked.groupBy("doc_id").agg(whole.alias("whole"), F.min(fine).alias("fine"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_percentiles, p4_daily, p4_combined, p6_ids, p7_found, p8_found, p8_pieces, p8_cover)}
 
 _DURATIONS = """
 with d as (
@@ -84,6 +102,7 @@ _ENDS = "".join(
 )
 
 SQL = {
+    "p8_cover": "select doc_id, md5(text) as whole, true as fine from documents where length(text) > 0",
     "p4_daily": _BUCKETS + "select day, flow_id, status, bucket, count(*) as records from b group by all",
     "p4_combined": _BUCKETS
     + """, h as (

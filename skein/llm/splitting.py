@@ -59,13 +59,13 @@ class Piece:
 
 
 class RangeMaximum:
-    """Sparse table: place of the largest value of a range, the rightmost of equal ones."""
+    """Sparse table: place of the largest value of a range of up to ``widest`` values, the rightmost of equal ones."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, widest: int | None = None) -> None:
         self.values = values
-        self.levels = [np.arange(len(values))]
+        self.levels = [np.arange(len(values), dtype=np.int32)]
         width = 1
-        while 2 * width <= len(values):
+        while 2 * width <= min(len(values), widest or len(values)):
             left, right = self.levels[-1][:-width], self.levels[-1][width:]
             self.levels.append(np.where(values[left] > values[right], left, right))
             width *= 2
@@ -128,7 +128,7 @@ def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERL
         words, sizes = own.word_sizes(text)
     positions, upto, strengths, divided = units(text, own, words, sizes)
     last = len(positions) - 1
-    table = RangeMaximum(strengths)
+    table = RangeMaximum(strengths, limit + 1)  # a boundary is a token at least, so no window holds more
     blank = own.pattern_space
 
     def size(first: int, after: int) -> int:
@@ -176,8 +176,11 @@ def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERL
 def split_table(frame: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Numbered pieces of every text: ``key, piece, start, end, tokens, overlap, strength`` and, if asked for, ``text``.
 
-    One pass without a shuffle. A text is handled whole by one task, as its tokens depend on one another.
+    One pass without a shuffle. A text is handled whole by one task, as its tokens depend on one another. The limit must
+    leave room for what is not divided, and the overlap for a step forward.
     """
+    if limit < 2 * LONG_WORD or not 0 < overlap <= limit // 2:
+        raise ValueError(f"the limit must be at least {2 * LONG_WORD} tokens and the overlap between 1 and half of it")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(folder, vocabulary)

@@ -33,6 +33,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: With this many words kept, or eight times as many tokens, the store starts anew; results do not depend on it.
 KEPT_WORDS = 400_000
+#: The same for pairs; so many new ones at least are sorted in at a time.
+KEPT_PAIRS, RECENT_PAIRS = 4_000_000, 20_000
 #: Texts encoded at a time.
 BATCH = 256
 
@@ -53,12 +55,13 @@ class Encoder:
         self.longest: dict[bytes, int] = {}
         for token in self.ranks:
             self.longest[token[:3]] = max(self.longest.get(token[:3], 2), len(token))
-        self.pairs = np.empty(0, np.int64)  # codes of known pairs, sorted
-        self.compatible = np.empty(0, bool)
         self.words_seen = self.merges = 0
         self._forget()
 
     def _forget(self) -> None:
+        self.pairs = np.empty(0, np.int64)  # codes of known pairs, sorted
+        self.compatible = np.empty(0, bool)
+        self.recent: dict[int, bool] = {}  # pairs met since they were last sorted in
         self.index: dict[str, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.sizes = np.zeros(1024, np.int64)
@@ -87,16 +90,26 @@ class Encoder:
         """Which of the pairs, as ``left << 32 | right``, are compatible."""
         unique, back = np.unique(codes, return_inverse=True)
         place = np.searchsorted(self.pairs, unique)
-        known = place < len(self.pairs)
-        known[known] = self.pairs[place[known]] == unique[known]
-        fresh = unique[~known]
-        if len(fresh):
-            verdicts = np.fromiter((self.merge(self.bytes_of[x >> 32] + self.bytes_of[x & 0xFFFFFFFF]) == [x >> 32, x & 0xFFFFFFFF] for x in fresh.tolist()), bool, len(fresh))
-            pairs, verdicts = np.concatenate([self.pairs, fresh]), np.concatenate([self.compatible, verdicts])
-            order = np.argsort(pairs)
-            self.pairs, self.compatible = pairs[order], verdicts[order]
-            place = np.searchsorted(self.pairs, unique)
-        return self.compatible[place][back]
+        place[place == len(self.pairs)] = 0
+        known = self.pairs[place] == unique if len(self.pairs) else np.zeros(len(unique), bool)
+        verdicts = np.zeros(len(unique), bool)
+        verdicts[known] = self.compatible[place[known]]
+        recent, merge, bytes_of = self.recent, self.merge, self.bytes_of
+        for at in np.flatnonzero(~known).tolist():
+            code = int(unique[at])
+            verdict = recent.get(code)
+            if verdict is None:
+                left, right = code >> 32, code & 0xFFFFFFFF
+                verdict = recent[code] = merge(bytes_of[left] + bytes_of[right]) == [left, right]
+            verdicts[at] = verdict
+        if len(recent) > RECENT_PAIRS + len(self.pairs) // 4:  # sorted in when they are many beside the table, so seldom
+            fresh = np.fromiter(recent, np.int64, len(recent))
+            order = np.argsort(fresh)
+            fresh, held = fresh[order], np.fromiter(recent.values(), bool, len(recent))[order]
+            at = np.searchsorted(self.pairs, fresh)
+            self.pairs, self.compatible = np.insert(self.pairs, at, fresh), np.insert(self.compatible, at, held)
+            recent.clear()
+        return verdicts[back]
 
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of each word."""
@@ -136,11 +149,11 @@ class Encoder:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def _tidy(self) -> None:
-        if len(self.index) > KEPT_WORDS or self.used > 8 * KEPT_WORDS:
+        if len(self.index) > KEPT_WORDS or self.used > 8 * KEPT_WORDS or len(self.pairs) > KEPT_PAIRS:
             self._forget()
 
-    def words_of(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words of all texts one after another, how many tokens each has, and the offsets of each text."""
+    def _split(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+        """The words of all texts one after another, and the offsets of each text."""
         self._tidy()
         words: list[str] = []
         ends = [0]
@@ -148,24 +161,23 @@ class Encoder:
             if text:
                 words += self.split(text)
             ends.append(len(words))
-        return words, self.sizes_of(words), np.asarray(ends)
+        return words, np.asarray(ends)
+
+    def words_of(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words of all texts one after another, how many tokens each has, and the offsets of each text."""
+        words, ends = self._split(texts)
+        return words, self.sizes_of(words), ends
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of each text."""
-        self._tidy()
-        words: list[str] = []
-        ends = []
-        for text in texts:
-            if text:
-                words += self.split(text)
-            ends.append(len(words))
+        words, ends = self._split(texts)
         if not words:
             return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         codes = self._codes(words)
         sizes = self.sizes[codes]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         gather = np.repeat(self.starts[codes] - upto[:-1], sizes) + np.arange(upto[-1])
-        return self.tokens[gather], np.concatenate([[0], upto[np.asarray(ends)]])
+        return self.tokens[gather], upto[ends]
 
     def word_sizes(self, text: str) -> tuple[list[str], np.ndarray]:
         """The words of one text and how many tokens each has."""
