@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Aliases of providers (fixed values).
 RUN_ALIASES = {"stepfun": "step", "阶跃星辰": "step", "通义千问": "qwen", "智谱": "zhipu", "ai ping": "ai_ping"}
 CLIENT_ALIASES = RUN_ALIASES | {"open ai": "openai", "deep seek": "deepseek"}
+#: Names of providers in the editor (fixed values).
+PROVIDER_LABELS = {"openai": "OpenAI", "deepseek": "DeepSeek", "qwen": "通义千问", "step": "阶跃星辰", "zhipu": "智谱", "ai_ping": "AI Ping"}
 #: Voices of speech (fixed values); the first is the default.
 VOICES = ("CHERRY", "SERENA", "ETHAN", "CHELSIE", "MOMO", "VIVIAN", "MOON", "MAIA", "KAI", "NOFISH", "BELLA", "JENNIFER", "RYAN", "KATERINA", "AIDEN")
 #: Names of a placeholder in a template.
@@ -70,6 +72,12 @@ def provider(name: Column, use: str = "run") -> Column:
     return _mapped(low, RUN_ALIASES, low)
 
 
+def provider_label(name: Column) -> Column:
+    """The name that the editor shows: the label of the canonical provider, else the name as it stands, '' for null."""
+    known = CLIENT_ALIASES | {x: x for x in PROVIDER_LABELS}
+    return F.coalesce(_mapped(_mapped(F.lower(trimmed(name)), known, name), PROVIDER_LABELS, name), F.lit(""))
+
+
 def base_url(url: Column) -> Column:
     """Address of a service without trailing slashes, ``/v1/chat/completions`` and ``/v1``, each stripped in turn; null stays null."""
     plain = F.regexp_replace(trimmed(url), "/+$", "")

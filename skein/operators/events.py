@@ -42,11 +42,21 @@ def progress(rows: DataFrame, keys: list[str], success: Column) -> DataFrame:
 
 
 def accumulated(chunks: DataFrame, keys: list[str], seq: str, text: str, into: str = "accumulated") -> DataFrame:
-    """Each chunk with the text up to it. The window of a key holds the chunks of one stream."""
+    """Each chunk with the text up to it, as its listener gets it.
+
+    The result itself takes the square of a stream's chunks, and one task handles a key: meant for streams of one answer
+    each. ``final_text`` gives only the whole text of each key.
+    """
     over = W.partitionBy(*keys).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
     return chunks.withColumn(into, F.array_join(F.collect_list(text).over(over), ""))
 
 
+def final_text(chunks: DataFrame, keys: list[str], seq: str, text: str, into: str = "accumulated") -> DataFrame:
+    """Per key the whole text of its chunks in order; each chunk is kept once."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(text).alias("text"))))
+    return chunks.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias(into))
+
+
 def collected(results: DataFrame, keys: list[str], position: str, *values: str, into: str = "results") -> DataFrame:
     """Per key its results as an array in the order of ``position``."""
     listed = F.array_sort(F.collect_list(F.struct(position, *values)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.plans import graph as graphs
+from skein.plans.providers import KINDS
 
 _SHAPE = "struct<nodes:array<struct<id:string,type:string,data:variant>>,edges:array<struct<id:string,source:string,target:string,sourceHandle:string,targetHandle:string>>>"
 
@@ -28,10 +29,19 @@ def _flow(text: str) -> Column:
     return F.when(F.try_parse_json(plain).isNotNull(), F.from_json(plain, _SHAPE))
 
 
+def _held(name: str, kind: str = "string") -> Column:
+    return F.try_variant_get("node.data", f"$.{name}", kind)
+
+
+def _type() -> Column:
+    """The type inside ``data`` wins over the outer one; ``default`` stands for none."""
+    return F.coalesce(F.nullif(_held("type"), F.lit("")), F.nullif(F.col("node.type"), F.lit("default")))
+
+
 def nodes(flows: DataFrame, key: str = "id", text: str = "flow_data") -> DataFrame:
     """``key, position, node_id, node_type, label`` of every node in the order of its list."""
     rows = flows.select(key, F.posexplode(_flow(text)["nodes"]).alias("position", "node"))
-    return rows.select(key, "position", F.col("node.id").alias("node_id"), F.coalesce(F.try_variant_get("node.data", "$.type", "string"), F.col("node.type")).alias("node_type"), F.try_variant_get("node.data", "$.label", "string").alias("label"))
+    return rows.select(key, "position", F.col("node.id").alias("node_id"), _type().alias("node_type"), _held("label").alias("label"))
 
 
 def edges(flows: DataFrame, key: str = "id", text: str = "flow_data") -> DataFrame:
@@ -41,14 +51,11 @@ def edges(flows: DataFrame, key: str = "id", text: str = "flow_data") -> DataFra
 
 
 def node_configs(flows: DataFrame, key: str = "id", text: str = "flow_data") -> DataFrame:
-    """``key, node_id, node_type, config_id, model, temperature`` of the nodes that name a configuration or a model."""
-    rows = flows.select(key, F.explode(_flow(text)["nodes"]).alias("node"))
-
-    def held(name: str, kind: str) -> Column:
-        return F.try_variant_get("node.data", f"$.{name}", kind)
-
-    kept = rows.select(key, F.col("node.id").alias("node_id"), F.coalesce(held("type", "string"), F.col("node.type")).alias("node_type"), held("configId", "bigint").alias("config_id"), F.coalesce(held("modelName", "string"), held("model", "string")).alias("model"), held("temperature", "double").alias("temperature"))
-    return kept.where("config_id is not null or model is not null")
+    """What the completion nodes say themselves: ``key, position, node_id, node_type, config_id, provider, api_url, api_key, model, temperature``."""
+    rows = flows.select(key, F.posexplode(_flow(text)["nodes"]).alias("position", "node"))
+    own = [_held(x).alias(y) for x, y in (("provider", "provider"), ("apiUrl", "api_url"), ("apiKey", "api_key"), ("model", "model"))]
+    kept = rows.select(key, "position", F.col("node.id").alias("node_id"), _type().alias("node_type"), _held("configId", "bigint").alias("config_id"), *own, _held("temperature", "double").alias("temperature"))
+    return kept.where(F.col("node_type").isin(*KINDS))
 
 
 def ends(node_table: DataFrame, edge_table: DataFrame, key: str = "id", which: str = "entry") -> DataFrame:

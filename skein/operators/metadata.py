@@ -71,11 +71,16 @@ def ordered_configs(frame: DataFrame, provider: str | None = None) -> DataFrame:
     return rows.orderBy(*(F.col(x).desc() for x in CONFIG_ORDER))
 
 
-def default_configs(frame: DataFrame) -> DataFrame:
-    """Per provider the configuration that comes first."""
+def first_configs(frame: DataFrame) -> DataFrame:
+    """Per provider the configuration that comes first, the default if there is one."""
     return first_of(active(frame), ["provider"], *(F.col(x).desc() for x in CONFIG_ORDER))
 
 
+def default_config(frame: DataFrame, provider: str) -> DataFrame:
+    """The default configuration of one provider, none where no configuration is marked; the first of several."""
+    return ordered_configs(frame, provider).where("is_default = 1").limit(1)
+
+
 def any_config(frame: DataFrame, provider: str, name: str) -> DataFrame:
     """One configuration of this provider and name, deleted or not; the lowest id of several."""
     return frame.where((F.col("provider") == provider) & (F.col("config_name") == name)).orderBy("id").limit(1)
@@ -91,20 +96,26 @@ def masked_configs(frame: DataFrame, admin: bool) -> DataFrame:
 
 
 def resolved_configs(nodes: DataFrame, configs: DataFrame) -> DataFrame:
-    """Nodes with the configuration they name, else their own settings.
+    """Completion nodes, from ``graphs.node_configs``, with the configuration they name, else their own settings, and what is missing.
 
-    ``configs`` has one row per id and is not hinted: where it is small Spark broadcasts it by its measured size.
+    The rule is that of ``plans.engine.resolve_config``. ``configs`` has one row per id and is not hinted: where it is
+    small Spark broadcasts it by its measured size.
     """
-    c = active(configs).select(F.col("id").alias("__id"), F.col("provider").alias("__provider"), F.col("model").alias("__model"), F.col("temperature").cast("double").alias("__temperature"))
+    names = ("provider", "api_url", "api_key", "model")
+    c = active(configs).select(F.col("id").alias("__id"), *(F.col(x).alias(f"__{x}") for x in names), F.col("temperature").cast("double").alias("__temperature"))
     joined = nodes.join(c, F.col("config_id") == F.col("__id"), "left")
     found = F.col("__id").isNotNull()
 
     def either(name: str) -> Column:
-        return F.when(found, F.col(f"__{name}")).otherwise(F.col(name))
+        own = F.col(name) if name == "temperature" else text.trimmed(F.col(name))
+        return F.when(found, F.col(f"__{name}")).otherwise(own)
+
+    def named(name: Column) -> Column:
+        return F.nullif(text.provider(name), F.lit(""))
 
-    own = F.when(F.col("node_type") != "llm", F.col("node_type"))
-    provider = F.coalesce(F.nullif(text.provider(F.col("__provider")), F.lit("")), own)
-    return joined.select("id", "node_id", "node_type", "config_id", found.alias("shared"), provider.alias("provider"), either("model").alias("model"), F.coalesce(either("temperature"), F.lit(0.7)).alias("temperature"))
+    provider = F.coalesce(named(either("provider")), named(F.col("provider")), F.when(F.col("node_type") != "llm", text.provider(F.col("node_type"))))
+    out = joined.select("id", "position", "node_id", "node_type", "config_id", found.alias("shared"), provider.alias("provider"), *(either(x).alias(x) for x in names[1:]), F.coalesce(either("temperature"), F.lit(0.7)).alias("temperature"))
+    return out.withColumn("missing", text.missing_fields(**{x: F.col(x) for x in names})).drop("api_url", "api_key")
 
 
 def normalized(configs: DataFrame) -> DataFrame:

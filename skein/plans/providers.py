@@ -7,6 +7,7 @@ or use the key that it gets.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ class Completion:
     input_tokens: int | None = None
     output_tokens: int | None = None
     total_tokens: int | None = None
+    parts: Sequence[str] = ()  #: what a stream delivers, in order; none where it comes as a whole
 
     def counts(self) -> tuple[int, int, int]:
         first, second = self.input_tokens or 0, self.output_tokens or 0
@@ -35,7 +37,7 @@ Speak = Callable[[str, str], bytes]
 
 def echo(model: str, temperature: float, system: str, prompts: Sequence[str]) -> list[Completion]:
     """Gives each prompt back; tokens are words between blanks."""
-    return [Completion(x, len(x.split()) + len(system.split()), len(x.split())) for x in prompts]
+    return [Completion(x, len(x.split()) + len(system.split()), len(x.split()), parts=re.findall(r"\s*\S+\s*?(?=\s|$)|\s+$", x)) for x in prompts]
 
 
 def tone(chunk: str, voice: str) -> bytes:
@@ -45,13 +47,14 @@ def tone(chunk: str, voice: str) -> bytes:
     return head + body
 
 
-_registry: dict[str, Complete] = {}
+#: Providers of completions by name; all kinds but the general one have the stand-in until another is registered.
+_registry: dict[str, Complete] = {name: echo for name in KINDS if name != "llm"}
 
 
 def register(name: str, complete: Complete) -> None:
     _registry[name] = complete
 
 
-def completer(name: str | None) -> Complete:
-    """The provider registered under a name, else the offline one."""
-    return _registry.get(name or "", echo)
+def completer(name: str | None) -> Complete | None:
+    """The provider registered under a name, or None, which fails the run."""
+    return _registry.get(name or "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +27,16 @@ def local_session(name: str = "skein", cores: str = "8", partitions: int = 8) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new place below the folder that the cluster shares, ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """A new place below the folder that the cluster shares, ``spark.checkpoint.dir``.
+
+    Where that is unset and everything runs in one process, as in tests, it is a temporary one that goes with the process.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return f"{folder}/skein-{uuid.uuid4().hex}"
 
 

@@ -81,7 +81,7 @@ def test_answers(spark):
 
 
 def test_engines_differ_in_references(spark):
-    nodes = [{"id": "input-1", "type": "input"}, {"id": "llm-1", "type": "llm", "data": {**LLM, "prompt": "{{q}}", "inputParams": [{"name": "q", "type": "reference", "referenceNode": "input-1.input"}]}}, {"id": "tts-1", "type": "tts"}, {"id": "output-1", "type": "output", "data": {"responseContent": "{{a}}", "outputParams": [{"name": "a", "type": "reference", "referenceNode": "llm-1.output"}]}}]
+    nodes = [{"id": "input-1", "type": "input"}, {"id": "llm-1", "type": "llm", "data": {**LLM, "prompt": "{{q}}", "inputParams": [{"name": "q", "type": "reference", "referenceNode": "input-1.input"}]}}, {"id": "tts-1", "type": "tts", "data": {"apiKey": "k"}}, {"id": "output-1", "type": "output", "data": {"responseContent": "{{a}}", "outputParams": [{"name": "a", "type": "reference", "referenceNode": "llm-1.output"}]}}]
     document = flow(nodes, [("input-1", "llm-1"), ("llm-1", "tts-1"), ("tts-1", "output-1")])
     assert output(run(spark, document, ["hey"], "langgraph")) == [{"output": "hey"}]
     assert output(run(spark, document, ["hey"]))[0]["output"].startswith("/audio/")
@@ -124,6 +124,84 @@ def test_custom_outputs_tokens_and_config(spark):
         engine.resolve_config({"configId": "x"}, "llm", configs)
 
 
+def test_providers_and_settings_in_one_rule():
+    named = {"apiUrl": "u", "apiKey": "k", "model": "m"}
+    assert engine.resolve_config({**named, "provider": " StepFun "}, "llm", {})["provider"] == "step"
+    assert engine.resolve_config({**named, "provider": ""}, "智谱", {})["provider"] == "zhipu"
+    assert engine.resolve_config(named, "llm", {})["provider"] is None
+    assert engine.resolve_config({"configId": 1, "provider": "通义千问"}, "llm", {1: {"provider": " ", "model": "x"}})["provider"] == "qwen"
+    assert engine.resolve_config({"modelName": "x"}, "step", {})["model"] is None
+    assert providers.completer("nobody") is None and providers.completer("openai") is providers.echo
+
+
+def test_speech_end_to_end(spark, tmp_path):
+    nodes = [{"id": "i", "type": "input"}, {"id": "t", "type": "tts", "data": {"apiKey": "k", "voice": "serena"}}]
+    said = ["word " * 500, "", None, "short", "word " * 500]
+    made = run(spark, flow(nodes, [("i", "t")]), said, audio_folder=str(tmp_path / "audio")).orderBy("run_id").collect()
+    assert [x.status for x in made] == ["SUCCESS", "FAILED", "FAILED", "SUCCESS", "SUCCESS"] and made[1].error == "there is no text to speak"
+    urls = [json.loads(x.output)["audioUrl"] for x in made if x.output]
+    assert urls[0] == urls[2] and sorted(x.name for x in (tmp_path / "audio").iterdir()) == sorted({x.removeprefix("/audio/") for x in urls})
+    body = (tmp_path / "audio" / urls[0].removeprefix("/audio/")).read_bytes()
+    assert body[44:] == ("word " * 500).encode() and struct.unpack_from("<I", body, 4)[0] == len(body) - 8
+    result = made[0].node_results[1]
+    assert int(json.loads(made[0].output)["chunks"]) == len(result.progress) == len(chunks("word " * 500)) and result.progress[0] == ("word " * 10) + "..."
+    none = run(spark, flow([nodes[0], {"id": "t", "type": "tts"}], [("i", "t")]), ["x"]).first()
+    assert none.error == "speech needs an apiKey"
+
+
+def test_a_failing_voice_fails_the_run_and_not_the_job(spark, tmp_path):
+    def speak(chunk, voice):
+        if "bad" in chunk:
+            raise RuntimeError("no voice")
+        return providers.tone(chunk, voice)
+
+    nodes = [{"id": "i", "type": "input"}, {"id": "t", "type": "tts", "data": {"apiKey": "k"}}, {"id": "o", "type": "output"}]
+    document = flow(nodes, [("i", "t"), ("t", "o")])
+    made = run(spark, document, ["good", "bad"], speak=speak, audio_folder=str(tmp_path)).orderBy("run_id").collect()
+    assert [(x.status, x.error) for x in made] == [("SUCCESS", None), ("FAILED", "no voice")]
+    other = run(spark, document, ["bad"], "langgraph", speak=speak, audio_folder=str(tmp_path)).first()
+    assert (other.status, json.loads(other.output), [x.nodeId for x in other.node_results]) == ("FAILED", {"output": "bad"}, ["i", "o"])
+
+
+def test_calls_before_speech_are_made_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def counted(model, temperature, system, prompts):
+        import uuid
+
+        for one in prompts:
+            (log / uuid.uuid4().hex).write_text(one)
+        return providers.echo(model, temperature, system, prompts)
+
+    nodes = [{"id": "i", "type": "input"}, {"id": "l", "type": "llm", "data": {**LLM, "prompt": "say it"}}, {"id": "t", "type": "tts", "data": {"apiKey": "k"}}]
+    old = engine.providers.completer
+    engine.providers.completer = lambda name: counted
+    try:
+        assert run(spark, flow(nodes, [("i", "l"), ("l", "t")]), ["a", "b", "c"], audio_folder=str(tmp_path / "o")).where("status = 'SUCCESS'").count() == 3
+    finally:
+        engine.providers.completer = old
+    assert len(list(log.iterdir())) == 3
+
+
+def test_events_of_speech_and_streams(spark, tmp_path):
+    nodes = [{"id": "i", "type": "input"}, {"id": "l", "type": "llm", "data": {**LLM, "prompt": "one two", "streaming": True}}, {"id": "t", "type": "tts", "data": {"apiKey": "k"}}]
+    document = flow(nodes, [("i", "l"), ("l", "t")])
+    told = [(x.node_id, x.event_type.rpartition("_")[2], x.data and json.loads(x.data)) for x in engine.run_events(run(spark, document, listen=True, audio_folder=str(tmp_path))).orderBy("seq").collect()]
+    assert [(x, y) for x, y, _ in told] == [(None, "START"), ("i", "START"), ("i", "SUCCESS"), ("l", "START"), ("l", "PROGRESS"), ("l", "PROGRESS"), ("l", "SUCCESS"), ("t", "START"), *[("t", "PROGRESS")] * 4, ("t", "SUCCESS"), (None, "COMPLETE")]
+    assert told[4][2] == {"chunk": "one", "accumulated": "one"} and told[5][2] == {"chunk": " two", "accumulated": "one two"} and told[6][2]["output"]["tokens"] == "0"
+    assert [x[2] for x in told[8:12]] == [{"totalChunks": 1, "currentChunk": 0}, {"totalChunks": 1, "currentChunk": 1, "chunkText": "one two..."}, {"totalChunks": 1, "currentChunk": 1, "completedChunks": 1}, None]
+    assert told[-2][2]["duration"] >= 0 and set(told[-2][2]) == {"input", "output", "duration"}
+    quiet = engine.run_events(run(spark, document, audio_folder=str(tmp_path))).where("node_id = 'l'")
+    assert quiet.count() == 2
+
+
+def test_records_of_runs(spark):
+    row = engine.execution_records(run(spark, answer("x"), ['say "hi"', None]), 5).orderBy("run_id").collect()
+    assert json.loads(row[0].input_data) == {"input": 'say "hi"'} and json.loads(row[1].input_data) == {"input": None}
+    assert row[0].duration == 0 and [set(x) for x in json.loads(row[0].node_results)] == [{"nodeId", "nodeName", "status", "input", "output", "duration"}] * 2
+
+
 def test_events_of_a_run(spark):
     events = engine.run_events(run(spark, answer("x"))).orderBy("seq").collect()
     assert [x.event_type for x in events] == ["WORKFLOW_START", "NODE_START", "NODE_SUCCESS", "NODE_START", "NODE_SUCCESS", "WORKFLOW_COMPLETE"]
@@ -190,6 +268,14 @@ def test_wav(spark):
     assert [x[0] for x in frame.select(audio.problem(F.col("p"))).collect()] == [None, None, "shorter than a WAV header", "no audio pieces"]
 
 
+def test_merged_outside_of_expressions():
+    pieces = [providers.tone(x, "") for x in ("ab", "", "cde")]
+    assert audio.merged(pieces)[44:] == b"abcde" and audio.merged(pieces[:1])[44:] == b"ab"
+    for bad in ([], [b"short"], [pieces[0], None]):
+        with pytest.raises(ValueError):
+            audio.merged(bad)
+
+
 def test_chunk_vectors():
     sizes = lambda x: [len(y) for y in chunks(x)]
     assert sizes("a" * 1000) == [400, 400, 200] and sizes("a" * 1500) == [400, 600, 400, 100] and sizes("中" * 1000) == [200] * 5
@@ -231,6 +317,9 @@ def test_sinks(spark, tmp_path):
     sinks.append(spark.range(3, 5), path)
     sinks.swap(spark.read.parquet(path).where("id > 2"), path)
     assert rows(spark.read.parquet(path)) == [(3,), (4,)]
+    (tmp_path / "no").write_text("in the way")
+    with pytest.raises(Exception):
+        sinks.swap(spark.range(2), str(tmp_path / "no" / "table"))
     stored = sinks.store_objects(spark.createDataFrame([(1, b"x"), (2, b"x"), (3, None)], "key long, content binary"), str(tmp_path / "o"))
     urls = {x.key: x.url for x in stored.collect()}
     assert urls[1] == urls[2] and urls[3] is None and len(list((tmp_path / "o").iterdir())) == 1
