@@ -45,8 +45,8 @@ BAND = 192
 SHIFT, SPANS = 1 << 24, 1 << 32
 #: Items, and characters of items, searched in one pass.
 ITEMS, ITEM_CHARS = 5000, 4_000_000
-#: Texts searched at a time.
-BATCH = 128
+#: Texts, and characters of texts, searched at a time; a longer text is searched alone.
+BATCH, BATCH_CHARS = 1024, 2_000_000
 
 _SKIPPED = regex.compile(r"[^\p{L}\p{N}]+")
 _SKIPPED_ASCII = bytes(x for x in range(128) if not chr(x).isalnum())
@@ -127,7 +127,7 @@ class Index:
         self.items = [x for x in (item_of(*item) for item in items if item[1]) if x is not None]
         self.needed = np.fromiter((x.needed for x in self.items), np.int64)
         self.halves = np.fromiter((x.band // 2 for x in self.items), np.int64)
-        self.by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_q: dict[int, tuple[np.ndarray, ...]] = {}
         for q in sorted({x.q for x in self.items}):
             hashes, owners, places = [], [], []
             for number, item in enumerate(self.items):
@@ -140,34 +140,54 @@ class Index:
             order = np.argsort(every, kind="stable")
             table = np.zeros(1 << self.BITS, bool)
             table[every >> np.uint64(64 - self.BITS)] = True
-            self.by_q[q] = every[order], owner[order], place[order], table
+            grams_, begin, counts = np.unique(every[order], return_index=True, return_counts=True)
+            self.by_q[q] = grams_, begin, counts, owner[order], place[order], table
 
     def candidates(self, points: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(text, item, first diagonal)`` of the bands that reach the bound.
+        """``(text, item, first diagonal)`` of the bands that reach the bound, each laid around its hits.
 
+        Every two cells of half a band form a band. Bands with the same hits are given once: that is every band with hits
+        in one cell only, as these lie in one of its neighbours as well.
         ``points`` are all texts of a batch one after another, each followed by a 0, and ``starts`` where they begin;
         diagonals count from the start of their text.
         """
         found: list[tuple[int, int, int]] = []
-        for q, (every, owner, place, table) in self.by_q.items():
+        texts = len(starts)
+        for q, (every, begin, counts, owner, place, table) in self.by_q.items():
             own = grams(points, q)
             at = np.flatnonzero(table[own >> np.uint64(64 - self.BITS)])
-            first = np.searchsorted(every, own[at], side="left")
-            count = np.searchsorted(every, own[at], side="right") - first
+            gram = np.searchsorted(every, own[at])
+            gram[gram == len(every)] = 0
+            same = every[gram] == own[at]
+            at, gram = at[same], gram[same]
+            count = counts[gram]
             total = int(count.sum())
             if not total:
                 continue
             here = np.repeat(at, count)
-            entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)
+            entry = np.repeat(begin[gram] - np.cumsum(count) + count, count) + np.arange(total)
             text = np.searchsorted(starts, here, side="right") - 1
-            low = (here - starts[text] - place[entry]) // self.halves[owner[entry]] + SHIFT  # a diagonal lies in the bands low and low - 1
-            keys = (text * len(self.items) + owner[entry]) * SPANS + low
-            bands, counts = np.unique(np.concatenate([keys, keys - 1]), return_counts=True)
-            good = counts >= self.needed[bands // SPANS % len(self.items)]
-            for key in bands[good].tolist():
-                pair, band = divmod(key, SPANS)
-                text_at, item = divmod(pair, len(self.items))
-                found.append((text_at, item, (band - SHIFT) * int(self.halves[item])))
+            # no band of a text and an item has more hits than the two have in all
+            pair = text * len(self.items) + owner[entry]
+            enough = (np.bincount(pair, minlength=texts * len(self.items)).reshape(texts, -1) >= self.needed).ravel()[pair]
+            here, entry, text = here[enough], entry[enough], text[enough]
+            if not len(here):
+                continue
+            diagonal = here - starts[text] - place[entry]
+            cell = (text * len(self.items) + owner[entry]) * SPANS + diagonal // self.halves[owner[entry]] + SHIFT
+            order = np.argsort(cell, kind="stable")
+            cells, begins, hits = np.unique(cell[order], return_index=True, return_counts=True)
+            low, high = np.minimum.reduceat(diagonal[order], begins), np.maximum.reduceat(diagonal[order], begins)
+            # a band is two cells side by side; one whose other cell is empty lies in the band on its other side, if that has hits
+            beside = cells[1:] == cells[:-1] + 1
+            first = np.concatenate([np.flatnonzero(beside), np.flatnonzero(~np.concatenate([[False], beside]) & ~np.concatenate([beside, [False]]))])
+            last = first.copy()
+            last[: int(beside.sum())] += 1
+            item = cells[first] // SPANS % len(self.items)
+            good = np.where(first == last, hits[first], hits[first] + hits[last]) >= self.needed[item]
+            middle = (np.minimum(low[first], low[last]) + np.maximum(high[first], high[last])) // 2
+            pair = cells[first] // SPANS
+            found += zip((pair // len(self.items))[good].tolist(), item[good].tolist(), (middle - self.halves[item])[good].tolist(), strict=True)
         return found
 
 
@@ -266,16 +286,28 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_t
     return found.groupBy("key", "item").agg(F.max("share").alias("share")).select(F.col("key").alias(doc_id), F.col("item").alias(item_id), "share")
 
 
+def _slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Where to cut a list of texts so that no part has more than ``BATCH`` of them or, but for a single text, ``BATCH_CHARS`` characters."""
+    first = chars = 0
+    for at, text in enumerate(texts):
+        size = len(text or "")
+        if at > first and (at - first >= BATCH or chars + size > BATCH_CHARS):
+            yield first, at
+            first, chars = at, 0
+        chars += size
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _search_table(rows: DataFrame, items: tuple[tuple[int, str], ...]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                names = batch["key"].to_pylist()
-                found = [(names[text], item, share) for text, item, share, _, good in search(index, batch["text"].to_pylist()) if good] if index.items else []
+            names, texts = whole["key"].to_pylist(), whole["text"].to_pylist()
+            for first, last in _slices(texts):
+                found = [(names[first + text], item, share) for text, item, share, _, good in search(index, texts[first:last]) if good] if index.items else []
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["key", "item", "share"])
 

@@ -122,12 +122,36 @@ def test_long_items_with_labels_between_their_lines():
         assert name == 6 and good
 
 
-def test_every_band_that_reaches_the_bound_is_aligned():
-    item = leakage.codes(leakage.reduced(english(1)))
-    index = leakage.Index([(1, english(1))])
-    text = np.concatenate([item, np.zeros(1, np.uint32)])
-    found = index.candidates(text, np.zeros(1, np.int64))
-    assert sorted(diagonal for *_, diagonal in found) == [-leakage.BAND // 2, 0]
+def test_the_hits_of_every_band_that_reaches_the_bound_are_aligned_together():
+    r = random.Random(8)
+    seen = 0
+    for seed in range(12):
+        text = leakage.reduced(english(seed + 30, 150))
+        index = leakage.Index([(1, text), (2, english(5))])
+        item = index.items[0]
+        body = "".join(text[i : i + 50] + "q" * r.choice([0, 0, 1, 9, 30, 90]) for i in range(0, len(text), 50)) + text[r.randint(0, 300) :]
+        points = leakage.codes(body + "\0")
+        where = {}
+        for at, gram in enumerate(leakage.grams(item.points, item.q).tolist()):
+            where.setdefault(gram, []).append(at)
+        hits = [at - place for at, gram in enumerate(leakage.grams(points, item.q).tolist()) for place in where.get(gram, ())]
+        found = [first for _, number, first in index.candidates(points, np.zeros(1, np.int64)) if number == 0]
+        assert len(found) == len(set(found))
+        half = item.band // 2
+        for band in range(min(hits) // half - 1, max(hits) // half + 1):
+            mine = [x for x in hits if band * half <= x < (band + 2) * half]
+            if len(mine) >= item.needed:
+                seen += 1
+                assert any(first <= min(mine) and max(mine) < first + item.band for first in found)
+    assert seen > 24
+
+
+def test_slices_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(leakage, "BATCH", 3)
+    monkeypatch.setattr(leakage, "BATCH_CHARS", 10)
+    assert list(leakage._slices(["ab"] * 7)) == [(0, 3), (3, 6), (6, 7)]
+    assert list(leakage._slices(["x" * 9, "ab", None, "x" * 50, ""])) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    assert list(leakage._slices([])) == []
 
 
 def altered(text, kind, r):
