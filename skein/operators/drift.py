@@ -178,7 +178,7 @@ def footer_inventory(spark: SparkSession, *paths: str) -> DataFrame:
                     types.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(steps, pa.list_(pa.string())), pa.array(types, pa.string()), pa.array(types, pa.string())], ["file", "steps", "type", "form"])
 
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(paths)).select(F.col("path").alias("file"))  # the content is not read
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(list(paths)).select(F.col("path").alias("file"))  # the content is not read
     return names.repartition(spark.sparkContext.defaultParallelism * 4, "file").mapInArrow(run, "file string, steps array<string>, type string, form string")
 
 
