@@ -284,11 +284,14 @@ def renames(spans: DataFrame, frame: DataFrame, file: str, key: str, text: str,
         one = held.select("step", "id", F.explode(name).alias("x"))
         return one.select("step", "id", F.element_at(groups, F.col("x.field") + 1).alias("parent"), F.col("x.value").alias("value"), F.col("x.field").alias(name))
 
-    same = side("old").join(side("new"), ["step", "id", "parent", "value"]).groupBy("old", "new").agg(F.count(F.lit(1)).alias("same"))
-    agreed = {(x.old, x.new): x.same for x in same.collect()}
+    same = side("old").join(side("new"), ["step", "id", "parent", "value"]).groupBy("old", "new").agg(F.count(F.lit(1)).alias("records"))
+    alone = held.select(F.explode(F.concat("old", "new")).alias("x")).groupBy(F.col("x.field").alias("old"), F.lit(None).cast("int").alias("new")).agg(F.count(F.lit(1)).alias("records"))
+    counts = {(x.old, x.new): x.records for x in same.unionByName(alone).collect()}
+    single = {old: records for (old, new), records in counts.items() if new is None}
+    # a pair agrees in no larger share of its records than of those of either field
+    agreed = {pair: records for pair, records in counts.items() if pair[1] is not None and records >= same_share * max(single[x] for x in pair)}
     if not agreed:
         return []
-    single = {x.number: x.records for x in held.select(F.explode(F.concat("old", "new")).alias("x")).groupBy(F.col("x.field").alias("number")).agg(F.count(F.lit(1)).alias("records")).collect()}
     partners: dict[int, list[int]] = {}
     for old, new in agreed:
         partners.setdefault(old, []).append(new)
