@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.text import placeholders
 from skein.plans import graph as graphs
 from skein.plans.providers import KINDS
 
@@ -58,6 +59,44 @@ def node_configs(flows: DataFrame, key: str = "id", text: str = "flow_data") ->
     return kept.where(F.col("node_type").isin(*KINDS))
 
 
+_PARAMS = "array<struct<name:string,type:string,value:string,referenceNode:string,ref:string>>"
+
+
+def lint(flows: DataFrame, key: str = "id", text: str = "flow_data") -> DataFrame:
+    """``key, position, node_id, problem, name`` of what would surprise at run time, for whole tables; ``plans.graph.lint`` tells it for one graph.
+
+    Problems: ``unnamed`` parameters, references that name ``nothing`` or an ``unknown`` node, static parameters
+    ``without value``, and names in templates that are ``undefined``. Parameters that are no list are none.
+    """
+    rows = flows.select(key, _flow(text)["nodes"].alias("nodes")).select(key, F.transform("nodes", lambda x: x["id"]).alias("known"), F.posexplode("nodes").alias("position", "node"))
+
+    def params(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("node.data", f"$.{name}", _PARAMS), F.array().cast(_PARAMS))
+
+    reference = F.coalesce(F.col("p.referenceNode"), F.col("p.ref"))
+    rows = rows.withColumn("params", F.concat(params("inputParams"), params("outputParams")))
+    held = rows.select(key, "position", F.col("node.id").alias("node_id"), "known", F.explode("params").alias("p"))
+    problem = (
+        F.when(F.coalesce(F.col("p.name"), F.lit("")) == "", "unnamed")
+        .when((F.col("p.type") == "reference") & ~F.coalesce(reference.contains("."), F.lit(False)), "nothing")
+        .when((F.col("p.type") == "reference") & ~F.array_contains("known", F.substring_index(reference, ".", 1)), "unknown")
+        .when((F.col("p.type") == "input") & F.col("p.value").isNull(), "without value")
+    )
+    of_params = held.select(key, "position", "node_id", problem.alias("problem"), F.coalesce("p.name", F.lit("")).alias("name")).where("problem is not null")
+    templates = F.concat_ws(" ", _held("prompt"), _held("responseContent"))
+    used = F.array_except(placeholders(templates), F.transform("params", lambda x: x["name"]))
+    of_templates = rows.select(key, "position", F.col("node.id").alias("node_id"), F.lit("undefined").alias("problem"), F.explode(used).alias("name"))
+    return of_params.unionByName(of_templates)
+
+
+def without_nodes(edge_table: DataFrame, gone: DataFrame, key: str = "id", node: str = "node_id") -> DataFrame:
+    """The edges that are left when the nodes ``key, node`` of ``gone`` are deleted with all that touch them."""
+    left = edge_table
+    for end in ("source", "target"):
+        left = left.join(gone.select(key, F.col(node).alias(end)).distinct(), [key, end], "left_anti")
+    return left.select(*edge_table.columns)
+
+
 def ends(node_table: DataFrame, edge_table: DataFrame, key: str = "id", which: str = "entry") -> DataFrame:
     """Per graph its entry (first node that no edge enters, else the first) or exit (first that no edge leaves, else the last)."""
     touched = edge_table.select(F.col(key).alias("__key"), F.col("target" if which == "entry" else "source").alias("__node")).distinct().withColumn("__touched", F.lit(True))

@@ -97,3 +97,25 @@ def store_merged(frame: DataFrame, folder: str, suffix: str = ".wav", prefix: st
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("url", T.StringType()), T.StructField("problem", T.StringType()), frame.schema["more"]])
     return frame.select(F.col("key").cast("long").alias("key"), "content", "more").mapInArrow(run, schema)
+
+
+def store_texts(frame: DataFrame, folder: str) -> int:
+    """Write each text of the columns ``name, content`` to the file ``name`` below ``folder``, and return how many there are.
+
+    A file gets its name only when it is complete, and a repeated task writes the same; the driver gets only the number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = _opened(folder)
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                at = f"{place}/{name}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                half = f"{at}.{uuid.uuid4().hex}"
+                with system.open_output_stream(half) as out:
+                    out.write((content or "").encode())
+                system.move(half, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    rows = frame.select("name", "content").where("name is not null").mapInArrow(run, "files long")
+    return rows.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files")).first().files

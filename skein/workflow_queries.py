@@ -14,7 +14,7 @@ from skein.functions import audio, chunking, crypto, text
 from skein.operators import events, graphs, metadata
 from skein.plans import engine, providers
 from skein.session import checkpointed, shared_folder
-from skein.sources import skills
+from skein.sources import sinks, skills
 from skein.sources.tables import table
 from skein.streaming import events as streams
 
@@ -676,3 +676,51 @@ def w_skill_prompts(spark: SparkSession, folder: str) -> DataFrame:
     parsed = skills.parsed(rows.groupBy("skill").agg(F.count(F.lit(1)).alias("texts")).select(body.alias("body")), "body")
     references = rows.where("kind is not null").groupBy("skill", F.col("kind").alias("ref")).agg(F.count(F.lit(1)).cast("string").alias("content"))
     return skills.prompts(parsed.select("name", "description", "content", "problem"), references).select("name", F.md5("prompt").alias("prompt"))
+
+
+@query(_CURRENT + """, params as (
+  select id, position, node_id, n, unnest(list_concat(
+    case when json_type(n, '$.data.inputParams') = 'ARRAY' then json_extract(n, '$.data.inputParams[*]') else [] end,
+    case when json_type(n, '$.data.outputParams') = 'ARRAY' then json_extract(n, '$.data.outputParams[*]') else [] end)) as p from nodes
+), told as (
+  select id, position, node_id, coalesce(p->>'$.name', '') as name, p->>'$.type' as kind, p->>'$.value' as value, coalesce(p->>'$.referenceNode', p->>'$.ref') as ref from params
+), found as (
+  select id, position, node_id, case when name = '' then 'unnamed' when kind = 'reference' and not coalesce(contains(ref, '.'), false) then 'nothing'
+    when kind = 'reference' and not exists (select 1 from nodes x where x.id = told.id and x.node_id = split_part(ref, '.', 1)) then 'unknown'
+    when kind = 'input' and value is null then 'without value' end as problem, name from told
+), used as (
+  select id, position, node_id, unnest(list_distinct(regexp_extract_all(concat_ws(' ', n->>'$.data.prompt', n->>'$.data.responseContent'), '\\{\\{(\\w+)\\}\\}', 1))) as name from nodes
+)
+select id, position::int as position, node_id, problem, name from found where problem is not null
+union all
+select id, position::int, node_id, 'undefined', name from used u where not exists (select 1 from told t where t.id = u.id and t.position = u.position and t.name = u.name)""")
+def w_lint(spark: SparkSession, folder: str) -> DataFrame:
+    """What would surprise at run time in the current workflows."""
+    return graphs.lint(_workflows(spark, folder))
+
+
+@query(_CURRENT + _END.format(end="target", pick="arg_min", name="entry").replace("select r.id, coalesce(f.node_id, r.node_id) as entry", ", gone as (select r.id, coalesce(f.node_id, r.node_id) as node_id", 1) + """)
+select id, position::int as position, source, target from edges e where not exists (select 1 from gone g where g.id = e.id and g.node_id in (e.source, e.target))""")
+def w_without_entry(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges that are left when the entry node of each workflow is deleted."""
+    gone = graphs.ends(_nodes(spark, folder), _edges(spark, folder), which="entry")
+    return graphs.without_nodes(_edges(spark, folder), gone, node="entry")
+
+
+_FRONT = r"'^---\s*\n([\s\S]*?)\n---\s*\n([\s\S]*)$'"
+
+
+@query(rf"""select doc_id, trim(regexp_extract(text, '^---\s*\n(?:[\s\S]*?\n)??name:([^\n]*)\n[\s\S]*?---\s*\n([\s\S]*)$', 1), ' ' || chr(13)) as name, coalesce(kind, 'none') as ref, 'from ' || coalesce(source, 'nowhere') as content from documents
+where regexp_matches(text, {_FRONT}) and regexp_extract(text, {_FRONT}, 1) like '%name:%'""")
+def w_skill_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Skills and their references written as files and read back: from the second folder, as the first has none."""
+    place = shared_folder(spark)
+    rows = table(spark, folder, "documents").where(F.col("text").rlike(skills.FRONT_MATTER))
+    written = sinks.store_texts(rows.select(F.concat_ws("/", "doc_id", F.lit("SKILL.md")).alias("name"), F.col("text").alias("content")), f"{place}/skills")
+    reference = F.concat(F.col("doc_id").cast("string"), F.lit("/reference/"), F.coalesce("kind", F.lit("none")), F.lit(".md"))
+    written += sinks.store_texts(rows.select(reference.alias("name"), F.concat(F.lit("from "), F.coalesce("source", F.lit("nowhere"))).alias("content")), f"{place}/skills")
+    if not written:  # a folder without files cannot be read
+        return spark.createDataFrame([], "doc_id long, name string, ref string, content string")
+    read = skills.read_skills(spark, f"{place}/none", f"{place}/skills").where("problem is null")
+    own = read.select(F.regexp_extract("path", r"([0-9]+)/SKILL\.md$", 1).alias("skill"), "name")
+    return own.join(skills.read_references(spark, f"{place}/skills"), "skill").select(F.col("skill").cast("long").alias("doc_id"), "name", "ref", "content")

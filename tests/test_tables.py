@@ -82,3 +82,17 @@ def test_streams(spark, tmp_path):
     done.awaitTermination()
     written = spark.read.parquet(out)
     assert written.groupBy("k").agg(F.sum("events")).count() == 2 and written.agg(F.sum("events")).first()[0] == 20
+
+
+def test_lint_over_tables(spark):
+    nodes = [{"id": "a", "type": "input"}, {"id": "l", "type": "llm", "data": {"prompt": "{{q}} {{z}} {{z}}", "inputParams": [{"name": "q", "type": "reference", "referenceNode": "a.x"}, {"name": "r", "type": "reference", "ref": "gone.x"}, {"name": "s", "type": "reference", "ref": "plain"}, {"name": "t", "type": "input"}, {"type": "input", "value": 3}], "outputParams": "none"}}]
+    data = [(1, json.dumps({"nodes": nodes, "edges": []})), (2, None), (3, '{"nodes": ['), (4, json.dumps({"nodes": None})), (5, json.dumps({"nodes": [{"id": None, "data": None}]}))]
+    frame = spark.createDataFrame(data, "id long, flow_data string")
+    assert rows(graphs.lint(frame)) == [(1, 1, "l", "nothing", "s"), (1, 1, "l", "undefined", "z"), (1, 1, "l", "unknown", "r"), (1, 1, "l", "unnamed", ""), (1, 1, "l", "without value", "t")]
+    assert graphs.lint(frame.limit(0)).count() == 0
+
+
+def test_edges_without_deleted_nodes(spark):
+    edges = spark.createDataFrame([(1, 0, "a", "b"), (1, 1, "b", "c"), (1, 2, "c", "d"), (2, 0, "a", "b"), (2, 1, None, "b")], "id long, position int, source string, target string")
+    gone = spark.createDataFrame([(1, "b"), (1, "b"), (2, None)], "id long, node_id string")
+    assert rows(graphs.without_nodes(edges, gone)) == [(1, 2, "c", "d"), (2, 0, "a", "b"), (2, 1, None, "b")]

@@ -320,6 +320,9 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "no").write_text("in the way")
     with pytest.raises(Exception):
         sinks.swap(spark.range(2), str(tmp_path / "no" / "table"))
+    texts = spark.createDataFrame([("a/b.md", "x"), ("c.md", None), (None, "y"), ("a/b.md", "x")], "name string, content string")
+    assert sinks.store_texts(texts, str(tmp_path / "texts")) == 3 and (tmp_path / "texts" / "a" / "b.md").read_text() == "x" and (tmp_path / "texts" / "c.md").read_text() == ""
+    assert sorted(x.name for x in (tmp_path / "texts").rglob("*.md*")) == ["b.md", "c.md"] and sinks.store_texts(texts.limit(0), str(tmp_path / "texts")) == 0
     stored = sinks.store_objects(spark.createDataFrame([(1, b"x"), (2, b"x"), (3, None)], "key long, content binary"), str(tmp_path / "o"))
     urls = {x.key: x.url for x in stored.collect()}
     assert urls[1] == urls[2] and urls[3] is None and len(list((tmp_path / "o").iterdir())) == 1
