@@ -17,6 +17,8 @@ CLIENT_ALIASES = RUN_ALIASES | {"open ai": "openai", "deep seek": "deepseek"}
 PROVIDER_LABELS = {"openai": "OpenAI", "deepseek": "DeepSeek", "qwen": "通义千问", "step": "阶跃星辰", "zhipu": "智谱", "ai_ping": "AI Ping"}
 #: Voices of speech (fixed values); the first is the default.
 VOICES = ("CHERRY", "SERENA", "ETHAN", "CHELSIE", "MOMO", "VIVIAN", "MOON", "MAIA", "KAI", "NOFISH", "BELLA", "JENNIFER", "RYAN", "KATERINA", "AIDEN")
+#: The time in a progress message (fixed value).
+SPENT = r"耗时 (\d+)ms"
 #: Names of a placeholder in a template.
 PLACEHOLDER = r"\{\{(.*?)\}\}"
 
@@ -96,7 +98,7 @@ def engine(name: Column) -> Column:
 
 def spent_ms(message: Column) -> Column:
     """Milliseconds named in a progress message, 0 if none."""
-    return F.coalesce(F.nullif(F.regexp_extract(message, r"耗时 (\d+)ms", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.nullif(F.regexp_extract(message, SPENT, 1), F.lit("")).cast("int"), F.lit(0))
 
 
 def clock(seconds: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def tasks_of(spark: SparkSession) -> int:
     """How many tasks a shuffle is meant to have: the larger of the shuffle partitions and the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -14,6 +14,8 @@ from skein.functions.text import is_blank, trimmed
 #: Form of a document and of a reference's name (fixed values).
 FRONT_MATTER = r"^---\s*\n([\s\S]*?)\n---\s*\n([\s\S]*)$"
 REFERENCE_NAME = r"^[a-zA-Z0-9._-]+$"
+#: Headings of a prompt (fixed values).
+SKILL_HEADING, GUIDE_HEADING, REFERENCES_HEADING, REFERENCE_HEADING = "# 技能: ", "## 技能指南", "## 参考文档", "### "
 
 
 def _unquoted(value: Column) -> Column:
@@ -73,9 +75,9 @@ def prompts(skills: DataFrame, references: DataFrame) -> DataFrame:
     """``name, prompt``: title, description, guide and all references in the order of their names."""
     gathered = references.groupBy("skill").agg(F.array_sort(F.collect_list(F.struct("ref", "content"))).alias("refs"))
     joined = skills.where("problem is null").join(gathered, F.col("name") == F.col("skill"), "left")
-    part = F.array_join(F.transform("refs", lambda x: F.concat(F.lit("### "), x["ref"], F.lit("\n\n"), x["content"], F.lit("\n\n"))), "")
-    head = F.concat(F.lit("# 技能: "), "name", F.lit("\n\n"), "description", F.lit("\n\n---\n\n## 技能指南\n\n"), "content", F.lit("\n\n"))
-    return joined.select("name", F.concat(head, F.when(F.size("refs") > 0, F.concat(F.lit("## 参考文档\n\n"), part)).otherwise("")).alias("prompt"))
+    part = F.array_join(F.transform("refs", lambda x: F.concat(F.lit(REFERENCE_HEADING), x["ref"], F.lit("\n\n"), x["content"], F.lit("\n\n"))), "")
+    head = F.concat(F.lit(SKILL_HEADING), "name", F.lit("\n\n"), "description", F.lit(f"\n\n---\n\n{GUIDE_HEADING}\n\n"), "content", F.lit("\n\n"))
+    return joined.select("name", F.concat(head, F.when(F.size("refs") > 0, F.concat(F.lit(f"{REFERENCES_HEADING}\n\n"), part)).otherwise("")).alias("prompt"))
 
 
 def tool_arguments(text: Column) -> Column:
